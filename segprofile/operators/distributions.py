@@ -13,7 +13,11 @@ from segprofile.functions.staging import stage
 from segprofile.operators.quantiles import grouped_quantiles
 
 # a Gaussian kernel is below 2e-22 of its peak this many bandwidths away
-_KERNEL_REACH = 10.0
+_REACH = 10
+# values are summed in cells this many to the bandwidth; within half a cell of its
+# centre the kernel's series to this order is exact to double precision
+_CELLS_PER_BANDWIDTH = 4
+_ORDER = 12
 
 
 def _extent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -59,7 +63,7 @@ def _with_bins(extent: DataFrame, bins) -> DataFrame:
 
 def fixed_bins(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     """The given number of equal bins per column."""
-    return _with_bins(_extent(df, columns), F.lit(bins))
+    return stage(_with_bins(_extent(df, columns), F.lit(bins)))
 
 
 def auto_bins(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
@@ -69,13 +73,11 @@ def auto_bins(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) ->
     rule 2 IQR / cbrt(n), the latter never below half of range / sqrt(n).
     """
     quartiles = grouped_quantiles(df, [], columns, [0.25, 0.75], accuracy)
-    quartiles = quartiles.select("feature", (F.col("q1") - F.col("q0")).alias("iqr"))
-    # one row per column of the table on either side
-    extent = _extent(df, columns).join(F.broadcast(quartiles), "feature")
     n, spread = F.col("n").cast("double"), F.col("max") - F.col("min")
-    by_quartiles = F.greatest(2.0 * F.col("iqr") / F.cbrt(n), spread / F.sqrt(n) / 2.0)
+    by_quartiles = F.greatest(2.0 * (F.col("q1") - F.col("q0")) / F.cbrt(n), spread / F.sqrt(n) / 2.0)
     width = F.least(by_quartiles, spread / (F.log2(n) + 1.0))
-    return _with_bins(extent, F.ceil(F.try_divide(spread, width)))
+    laid_out = _with_bins(quartiles, F.ceil(F.try_divide(spread, width)))
+    return stage(laid_out.select("feature", "n", "min", "max", "sd", "origin", "width", "bins"))
 
 
 def histogram(df: DataFrame, columns: Sequence[str], layout: DataFrame) -> DataFrame:
@@ -112,9 +114,10 @@ def kde_curve(
 ) -> DataFrame:
     """Gaussian density at ``grid`` points from min to max, scaled to the bin counts.
 
-    Every value adds to the grid points its kernel reaches, summed before the
-    shuffle, so at most ``columns x grid`` sums leave a task and the reach
-    narrows as the table grows. A constant column has no curve.
+    With T = (point - c) / h and u = (value - c) / h around a cell centre c,
+    exp(-(T - u)^2 / 2) = exp(-T^2 / 2) * sum over m of (T^m / m!) * u^m exp(-u^2 / 2).
+    So the rows are read once into a few sums per cell, before any shuffle, and
+    only cells meet grid points. A constant column has no curve.
     """
     setup = (
         layout.where((F.col("sd") > 0) & (F.col("max") > F.col("min")))
@@ -122,24 +125,39 @@ def kde_curve(
         .withColumn("step", (F.col("max") - F.col("min")) / (grid - 1))
         .select("feature", "min", "width", "h", "step")
     )
-    reach = F.lit(_KERNEL_REACH) * F.col("h")
-    first = F.greatest(F.ceil((F.col("value") - reach - F.col("min")) / F.col("step")), F.lit(0))
-    last = F.least(F.floor((F.col("value") + reach - F.col("min")) / F.col("step")), F.lit(grid - 1))
-    z = (F.col("min") + F.col("g") * F.col("step") - F.col("value")) / F.col("h")
-    # a kernel narrower than the grid step may lie between two points
-    sums = (
+    cell_width = F.col("h") / _CELLS_PER_BANDWIDTH
+    cell = F.round((F.col("value") - F.col("min")) / cell_width).cast("bigint")
+    u = (F.col("value") - F.col("min")) / F.col("h") - F.col("cell") / float(_CELLS_PER_BANDWIDTH)
+    rows = (
         unpivot(df, [], columns, "double")
         .where(F.col("value").isNotNull())
-        .join(F.broadcast(setup), "feature")
-        .where(first <= last)
-        .select("feature", "value", "min", "step", "h", F.explode(F.sequence(first, last)).alias("g"))
-        .groupBy("feature", "g")
-        .agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("kernel"))
+        .join(F.broadcast(setup.select("feature", "min", "h")), "feature")
+        .select("feature", "value", "min", "h", cell.alias("cell"))
+        .select("feature", "cell", u.alias("u"))
+        .withColumn("e", F.exp(F.lit(-0.5) * F.col("u") * F.col("u")))
     )
-    points = setup.select(
-        "feature", "min", "step", "h", "width", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")
+    powers = [F.col("e")]
+    for _ in range(_ORDER):
+        powers.append(powers[-1] * F.col("u"))
+    moments = rows.groupBy("feature", "cell").agg(*[F.sum(p).alias(f"s{m}") for m, p in enumerate(powers)])
+
+    center = F.col("cell") * cell_width
+    reach = F.lit(float(_REACH)) * F.col("h")
+    first = F.greatest(F.ceil((center - reach) / F.col("step")), F.lit(0).cast("bigint"))
+    last = F.least(F.floor((center + reach) / F.col("step")), F.lit(grid - 1).cast("bigint"))
+    far = (F.col("point") * F.col("step") - center) / F.col("h")
+    series = F.col(f"s{_ORDER}") / math.factorial(_ORDER)
+    for m in reversed(range(_ORDER)):
+        series = series * F.col("T") + F.col(f"s{m}") / math.factorial(m)
+    sums = (
+        moments.join(F.broadcast(setup.select("feature", "h", "step")), "feature")
+        .where(first <= last)
+        .select("*", F.explode(F.sequence(first, last)).alias("point"))
+        .withColumn("T", far)
+        .groupBy("feature", F.col("point").cast("int").alias("point"))
+        .agg(F.sum(F.exp(F.lit(-0.5) * F.col("T") * F.col("T")) * series).alias("kernel"))
     )
-    sums = sums.select("feature", F.col("g").cast("int").alias("point"), "kernel")
+    points = setup.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     scale = F.col("width") / (F.col("h") * math.sqrt(2.0 * math.pi))
     return points.join(sums, ["feature", "point"], "left").select(
         "feature",
@@ -158,6 +176,7 @@ def _fences(df: DataFrame, by: str, columns: Sequence[str], accuracy: int) -> Da
         q.select(
             col(by),
             "feature",
+            "n",
             F.col("q0").alias("q1"),
             F.col("q1").alias("median"),
             F.col("q2").alias("q3"),
@@ -167,6 +186,14 @@ def _fences(df: DataFrame, by: str, columns: Sequence[str], accuracy: int) -> Da
     )
 
 
+def _against_fences(df: DataFrame, ids, by: str, columns: Sequence[str], fences: DataFrame) -> DataFrame:
+    return (
+        unpivot(df, ids, columns, "double")
+        .where(F.col("value").isNotNull())
+        .join(fences.select(col(by), "feature", "fence_lo", "fence_hi"), [by, "feature"])
+    )
+
+
 def box_stats(
     df: DataFrame, by: str, columns: Sequence[str], accuracy: int = 10_000
 ) -> DataFrame:
@@ -175,18 +202,14 @@ def box_stats(
     A whisker ends at the last value inside the fence.
     """
     fences = _fences(df, by, columns, accuracy)
-    x = F.col("value")
-    inside = x.between(F.col("fence_lo"), F.col("fence_hi"))
+    x, lo, hi = F.col("value"), F.col("fence_lo"), F.col("fence_hi")
     spread = (
-        unpivot(df, [by], columns, "double")
-        .where(x.isNotNull())
-        .join(fences.select(col(by), "feature", "fence_lo", "fence_hi"), [by, "feature"])
+        _against_fences(df, [by], by, columns, fences)
         .groupBy(col(by), "feature")
         .agg(
-            F.count("*").alias("n"),
-            F.min(F.when(x >= F.col("fence_lo"), x)).alias("inner_lo"),
-            F.max(F.when(x <= F.col("fence_hi"), x)).alias("inner_hi"),
-            F.count_if(~inside).alias("n_outliers"),
+            F.min(F.when(x >= lo, x)).alias("inner_lo"),
+            F.max(F.when(x <= hi, x)).alias("inner_hi"),
+            F.count_if(~x.between(lo, hi)).alias("n_outliers"),
         )
     )
     return spread.join(fences, [by, "feature"]).select(
@@ -207,12 +230,9 @@ def box_outliers(
 ) -> DataFrame:
     """The values beyond the fences, with the key of their row."""
     fences = _fences(df, by, columns, accuracy)
-    x = F.col("value")
     ids = list(dict.fromkeys([*key, by]))
     return (
-        unpivot(df, ids, columns, "double")
-        .where(x.isNotNull())
-        .join(fences.select(col(by), "feature", "fence_lo", "fence_hi"), [by, "feature"])
-        .where(~x.between(F.col("fence_lo"), F.col("fence_hi")))
+        _against_fences(df, ids, by, columns, fences)
+        .where(~F.col("value").between(F.col("fence_lo"), F.col("fence_hi")))
         .select(*cols(key), col(by).alias("category"), "feature", "value")
     )

@@ -1,9 +1,10 @@
 """Exact grouped quantiles that never hold a group in one place.
 
-A sketch brackets each wanted rank between two data values, one more pass keeps
-only the values inside the brackets (everything below is just counted), and the
-rank is then found among those few. The sketch decides how much work is left,
-never the answer: a bracket that turns out not to hold its rank is opened fully.
+A sketch brackets each wanted rank between two data values. One more pass then
+keeps only the distinct values inside the brackets, with their counts, and just
+counts everything else. The ranks are found among those few. The sketch decides
+how much work is left, never the answer: where a bracket turns out not to hold
+its rank, the group is read again with the brackets fully open.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from segprofile.functions.columns import cols, double, unpivot
 from segprofile.functions.staging import stage
 
+# above this many kept values they are cut into cells before one is put in order
+_ORDERED_AT_ONCE = 1_000_000
 _CELLS = 4096
 _INF = float("inf")
 
@@ -24,106 +27,178 @@ _INF = float("inf")
 def _brackets(
     df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float], accuracy: int
 ) -> DataFrame:
-    """``(by..., feature, n, t, rank_lo, rank_hi, weight, lo, hi)`` from one sketch pass."""
+    """One row per group and feature from one pass: extent, and ``(lo, hi)`` per probability."""
     margin = 5.0 / accuracy
     points = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs.append(F.percentile_approx(double(c), points, accuracy).alias(f"s{i}"))
-        aggs.append(F.count(double(c)).alias(f"n{i}"))
-    wide = df.groupBy(*cols(by)).agg(*aggs) if by else df.agg(*aggs)
-    per_feature = wide.select(
+
+    def figures(i: int, c: str) -> list[Column]:
+        x = double(c)
+        return [
+            F.count(x).alias(f"n{i}"),
+            F.min(x).alias(f"min{i}"),
+            F.max(x).alias(f"max{i}"),
+            F.stddev_samp(x).alias(f"sd{i}"),
+            F.percentile_approx(x, points, accuracy).alias(f"s{i}"),
+        ]
+
+    wide = df.groupBy(*cols(by)).agg(*[e for i, c in enumerate(columns) for e in figures(i, c)])
+    long = wide.select(
         *cols(by),
         F.inline(
             F.array(
                 *[
                     F.struct(
-                        F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("s")
+                        F.lit(c).alias("feature"),
+                        *[F.col(f"{name}{i}").alias(name) for name in ("n", "min", "max", "sd", "s")],
                     )
                     for i, c in enumerate(columns)
                 ]
             )
         ),
     ).where("n > 0")
-    open_ended = F.col("n") <= 4 * accuracy
+    few = F.col("n") <= 4 * accuracy
 
-    def target(t: int, q: float) -> Column:
-        position = F.lit(float(q)) * (F.col("n") - 1)
-        low = F.lit(-_INF) if q - margin <= 0 else F.when(open_ended, -_INF).otherwise(F.col("s")[2 * t])
-        high = F.lit(_INF) if q + margin >= 1 else F.when(open_ended, _INF).otherwise(F.col("s")[2 * t + 1])
-        return F.struct(
-            F.lit(t).alias("t"),
-            F.floor(position).alias("rank_lo"),
-            F.ceil(position).alias("rank_hi"),
-            (position - F.floor(position)).alias("weight"),
-            low.alias("lo"),
-            high.alias("hi"),
-        )
+    def bounds(t: int, q: float) -> list[Column]:
+        lo = F.lit(-_INF) if q <= margin else F.when(few, -_INF).otherwise(F.col("s")[2 * t])
+        hi = F.lit(_INF) if q >= 1 - margin else F.when(few, _INF).otherwise(F.col("s")[2 * t + 1])
+        return [lo.alias(f"lo{t}"), hi.alias(f"hi{t}")]
 
-    return per_feature.select(
-        *cols(by), "feature", "n", F.inline(F.array(*[target(t, q) for t, q in enumerate(probs)]))
+    return long.select(
+        *cols(by),
+        "feature",
+        "n",
+        "min",
+        "max",
+        "sd",
+        *[b for t, q in enumerate(probs) for b in bounds(t, q)],
     )
 
 
-def _resolve(df: DataFrame, by: Sequence[str], columns: Sequence[str], brackets: DataFrame) -> DataFrame:
-    """Value of each target, null where the bracket does not hold the wanted ranks."""
+def _kept_values(df: DataFrame, by, columns, brackets: DataFrame, n_probs: int) -> DataFrame:
+    """``(by..., feature, segment, value, n)`` as a written table.
+
+    A value belongs to the first bracket that does not end below it; segments
+    are therefore in value order. Inside the bracket the value itself is kept,
+    before it (null) only the count; values beyond the last bracket are dropped.
+    """
     at = [*by, "feature"]
-    target = [*at, "t"]
-    # the brackets are a written table, so their known size decides how they are joined
-    packed = brackets.groupBy(*cols(at)).agg(F.collect_list(F.struct("t", "lo", "hi")).alias("targets"))
     x = F.col("value")
-    hit = (
-        unpivot(df, by, columns, "double")
-        .where(x.isNotNull())
-        .join(packed, at)
-        .select(*cols(at), "value", F.explode("targets").alias("b"))
-        .where(x <= F.col("b.hi"))
-        .select(*cols(at), F.col("b.t").alias("t"), F.when(x >= F.col("b.lo"), x).alias("value"))
+    ends = brackets.select(*cols(at), *[f"{e}{t}" for t in range(n_probs) for e in ("lo", "hi")])
+    segment, kept = F.lit(None).cast("int"), F.lit(None).cast("double")
+    for t in reversed(range(n_probs)):
+        here = x <= F.col(f"hi{t}")
+        segment = F.when(here, F.lit(t)).otherwise(segment)
+        kept = F.when(here, F.when(x >= F.col(f"lo{t}"), x)).otherwise(kept)
+    # the brackets are a written table, so their known size decides how they are joined
+    found = unpivot(df, by, columns, "double").where(x.isNotNull()).join(ends, at)
+    return stage(
+        found.where(x <= F.col(f"hi{n_probs - 1}"))
+        .select(*cols(at), segment.alias("segment"), kept.alias("value"))
+        .groupBy(*cols(at), "segment", "value")
+        .agg(F.count("*").alias("n"))
     )
-    inside = stage(hit.groupBy(*cols(target), "value").agg(F.count("*").alias("n")))
 
-    span = inside.groupBy(*cols(target)).agg(
-        F.coalesce(F.sum(F.when(x.isNull(), F.col("n"))), F.lit(0)).alias("below"),
+
+def _segments(kept: DataFrame, at: Sequence[str]) -> DataFrame:
+    """Per segment the rank of its first kept value and the extent of the kept ones."""
+    x = F.col("value")
+    spans = kept.groupBy(*cols(at), "segment").agg(
+        F.sum("n").alias("total"),
+        F.coalesce(F.sum(F.when(x.isNull(), F.col("n"))), F.lit(0)).alias("before"),
         F.min("value").alias("first"),
         F.max("value").alias("last"),
     )
-    width = F.col("last") - F.col("first")
-    cell = F.when(width > 0, F.least(F.floor((x - F.col("first")) / width * _CELLS), F.lit(_CELLS - 1)))
-    placed = (
-        inside.where(x.isNotNull())
-        .join(span, target)
-        .select(*cols(target), "value", "n", "below", F.coalesce(cell, F.lit(0)).alias("cell"))
-    )
-    wanted = brackets.select(*cols(target), "rank_lo", "rank_hi", "weight")
-    running = W.partitionBy(*cols(target)).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = (
-        placed.groupBy(*cols(target), "cell", "below")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("start", F.col("below") + F.coalesce(F.sum("n").over(running), F.lit(0)))
-        .join(wanted, target)
-        .where(
-            (F.col("rank_hi") >= F.col("start")) & (F.col("rank_lo") < F.col("start") + F.col("n"))
-        )
-        .select(*cols(target), "cell", "start", "rank_lo", "rank_hi", "weight")
+    earlier = W.partitionBy(*cols(at)).orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("total").over(earlier), F.lit(0))
+    return spans.select(
+        *cols(at),
+        "segment",
+        "first",
+        "last",
+        (start + F.col("before")).alias("from_rank"),
+        (start + F.col("total")).alias("to_rank"),
     )
-    upto = W.partitionBy(*cols(target), "cell").orderBy("value")
-    upto = upto.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (
-        placed.select(*cols(target), "cell", "value", "n")
-        .join(cells, [*target, "cell"])
-        .withColumn("end", F.col("start") + F.sum("n").over(upto))
+
+
+def _targets(brackets: DataFrame, at: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(by..., feature, t, rank, weight)``: the neighbouring ranks each quantile lies between."""
+    rows = []
+    for t, q in enumerate(probs):
+        position = F.lit(float(q)) * (F.col("n") - 1)
+        above = position - F.floor(position)
+        for rank, weight in ((F.floor(position), 1.0 - above), (F.floor(position) + 1, above)):
+            rows.append(F.struct(F.lit(t).alias("t"), rank.alias("rank"), weight.alias("weight")))
+    return brackets.select(*cols(at), F.inline(F.array(*rows))).where("weight > 0")
+
+
+def _missed(segments: DataFrame, targets: DataFrame, at: Sequence[str]) -> DataFrame:
+    """Groups with a wanted rank that no bracket holds."""
+    held = (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
+    hits = targets.join(segments, at).where(held)
+    return targets.join(hits.select(*cols(at), "t", "rank"), [*at, "t", "rank"], "left_anti").select(
+        *cols(at)
+    ).distinct()
+
+
+def _values_at(kept: DataFrame, segments: DataFrame, targets: DataFrame, at: Sequence[str]) -> DataFrame:
+    """``(by..., feature, t, quantile)`` from the values at the wanted ranks."""
+    x = F.col("value")
+    values = kept.where(x.isNotNull())
+    part = [*at, "segment"]
+    wanted = targets.join(segments, at).where(
+        (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
     )
-    covers_lo = (F.col("rank_lo") >= F.col("end") - F.col("n")) & (F.col("rank_lo") < F.col("end"))
-    covers_hi = (F.col("rank_hi") >= F.col("end") - F.col("n")) & (F.col("rank_hi") < F.col("end"))
-    found = ranked.groupBy(*cols(target)).agg(
-        F.max(F.when(covers_lo, x)).alias("at_lo"), F.max(F.when(covers_hi, x)).alias("at_hi")
+    if kept.count() > _ORDERED_AT_ONCE:
+        # count equal slices of each segment first and put only the slices in order that hold a rank
+        width = F.col("last") - F.col("first")
+        slot = F.when(
+            width > 0, F.least(F.floor((x - F.col("first")) / width * _CELLS), F.lit(_CELLS - 1))
+        )
+        placed = values.join(segments, part).select(
+            *cols(part), "value", "n", "from_rank", F.coalesce(slot, F.lit(0)).alias("cell")
+        )
+        before = W.partitionBy(*cols(part)).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+        cells = (
+            placed.groupBy(*cols(part), "cell", "from_rank")
+            .agg(F.sum("n").alias("total"))
+            .withColumn("start", F.col("from_rank") + F.coalesce(F.sum("total").over(before), F.lit(0)))
+            .select(*cols(part), "cell", "start", "total")
+        )
+        wanted = (
+            wanted.select(*cols(part), "t", "rank", "weight")
+            .join(cells, part)
+            .where(
+                (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("total"))
+            )
+        )
+        part = [*part, "cell"]
+        chosen = wanted.select(*cols(part), "start").distinct()
+        values = placed.select(*cols(part), "value", "n").join(chosen, part)
+    else:
+        starts = segments.select(*cols(part), F.col("from_rank").alias("start"))
+        values = values.join(starts, part)
+    upto = W.partitionBy(*cols(part)).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = values.withColumn("end", F.col("start") + F.sum("n").over(upto)).select(
+        *cols(part), "value", "n", "end"
     )
+    held = (F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end"))
     return (
-        brackets.join(found, target, "left")
-        .withColumn(
-            "quantile", F.col("at_lo") + (F.col("at_hi") - F.col("at_lo")) * F.col("weight")
+        wanted.select(*cols(part), "t", "rank", "weight")
+        .join(ranked, part)
+        .where(held)
+        .groupBy(*cols(at), "t")
+        .agg(
+            F.min("value").alias("below"),
+            F.max("value").alias("above"),
+            F.max_by("weight", "rank").alias("weight"),
+        )
+        .select(
+            *cols(at),
+            "t",
+            F.when(F.col("below") == F.col("above"), F.col("below"))
+            .otherwise(F.col("below") + (F.col("above") - F.col("below")) * F.col("weight"))
+            .alias("quantile"),
         )
-        .select(*cols(at), "n", "t", "quantile")
     )
 
 
@@ -134,20 +209,30 @@ def grouped_quantiles(
     probs: Sequence[float],
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Exact quantiles, linear between neighbours: ``(by..., feature, n, q0, q1, ...)``.
+    """Exact quantiles, linear between neighbours, with the extent of the values.
 
-    Missing values are skipped; ``by`` columns must not be missing. The result is
-    a written table with a row per group and feature.
+    Output: ``(by..., feature, n, min, max, sd, q0, q1, ...)``. Probabilities go
+    upwards; missing values are skipped; ``by`` columns must not be missing.
     """
+    if list(probs) != sorted(probs):
+        raise ValueError("probabilities must be in ascending order")
     at = [*by, "feature"]
     brackets = stage(_brackets(df, by, columns, probs, accuracy))
-    found = stage(_resolve(df, by, columns, brackets))
-    missed = found.where(F.col("quantile").isNull())
+
+    def resolve(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+        kept = _kept_values(df, by, columns, table, len(probs))
+        segments, targets = _segments(kept, at), _targets(table, at, probs)
+        return _values_at(kept, segments, targets, at), _missed(segments, targets, at)
+
+    found, missed = resolve(brackets)
     if not missed.isEmpty():
-        retry = brackets.join(missed.select(*cols(at), "t"), [*at, "t"], "left_semi")
-        retry = retry.withColumn("lo", F.lit(-_INF)).withColumn("hi", F.lit(_INF))
-        opened = _resolve(df, by, columns, stage(retry))
-        found = stage(found.where(F.col("quantile").isNotNull()).unionByName(opened))
-    return found.groupBy(*cols(at), "n").agg(
+        missed = stage(missed)
+        opened = brackets.join(missed, at, "left_semi").withColumns(
+            {f"{e}{t}": F.lit(v) for t in range(len(probs)) for e, v in (("lo", -_INF), ("hi", _INF))}
+        )
+        again, _ = resolve(stage(opened))
+        found = found.join(missed, at, "left_anti").unionByName(again)
+    wide = found.groupBy(*cols(at)).agg(
         *[F.max(F.when(F.col("t") == t, F.col("quantile"))).alias(f"q{t}") for t in range(len(probs))]
     )
+    return brackets.select(*cols(at), "n", "min", "max", "sd").join(wide, at)
