@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
     """A column by its exact name, whatever dots, slashes or spaces it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def cols(names: Iterable[str]) -> list[Column]:
@@ -47,7 +51,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def double(name: str) -> Column:
     """A feature as a double with NaN read as missing."""
-    return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
+    return F.expr(f"nanvl(CAST({quoted(name)} AS DOUBLE), CAST(NULL AS DOUBLE))")
 
 
 def is_missing(name: str, data_type: T.DataType) -> Column:

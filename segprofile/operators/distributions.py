@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segprofile.functions.columns import col, cols, double, rows_from_columns, unpivot
+from segprofile.functions.columns import col, cols, unpivot
 from segprofile.functions.staging import stage
-from segprofile.operators.quantiles import grouped_quantiles
+from segprofile.operators.quantiles import extents, grouped_quantiles
 
 # a Gaussian kernel is below 2e-22 of its peak this many bandwidths away
 _REACH = 10
@@ -20,35 +20,6 @@ _CELLS_PER_BANDWIDTH = 4
 _ORDER = 12
 
 
-def _extent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(feature, n, min, max, sd)``, one row per column, in one pass."""
-    wide = df.agg(
-        *[
-            e
-            for i, c in enumerate(columns)
-            for e in (
-                F.count(double(c)).alias(f"n{i}"),
-                F.min(double(c)).alias(f"lo{i}"),
-                F.max(double(c)).alias(f"hi{i}"),
-                F.stddev_samp(double(c)).alias(f"sd{i}"),
-            )
-        ]
-    )
-    return rows_from_columns(
-        wide,
-        [
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(f"n{i}").alias("n"),
-                F.col(f"lo{i}").alias("min"),
-                F.col(f"hi{i}").alias("max"),
-                F.col(f"sd{i}").alias("sd"),
-            )
-            for i, c in enumerate(columns)
-        ],
-    ).where("n > 0")
-
-
 def _with_bins(extent: DataFrame, bins) -> DataFrame:
     """Bin origin, count and width; a constant column gets one bin of width 1 around it."""
     spread = F.col("max") - F.col("min")
@@ -63,16 +34,16 @@ def _with_bins(extent: DataFrame, bins) -> DataFrame:
 
 def fixed_bins(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     """The given number of equal bins per column."""
-    return stage(_with_bins(_extent(df, columns), F.lit(bins)))
+    return stage(_with_bins(extents(df, [], columns), F.lit(bins)))
 
 
-def auto_bins(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+def auto_bins(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Bin count from sample size, range and quartile distance.
 
     Width is the smaller of two rules: range / (log2 n + 1), and the quartile
     rule 2 IQR / cbrt(n), the latter never below half of range / sqrt(n).
     """
-    quartiles = grouped_quantiles(df, [], columns, [0.25, 0.75], accuracy)
+    quartiles = grouped_quantiles(df, [], columns, [0.25, 0.75])
     n, spread = F.col("n").cast("double"), F.col("max") - F.col("min")
     by_quartiles = F.greatest(2.0 * (F.col("q1") - F.col("q0")) / F.cbrt(n), spread / F.sqrt(n) / 2.0)
     width = F.least(by_quartiles, spread / (F.log2(n) + 1.0))
@@ -167,10 +138,10 @@ def kde_curve(
     )
 
 
-def _fences(df: DataFrame, by: str, columns: Sequence[str], accuracy: int) -> DataFrame:
+def _fences(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """Quartiles and the fences 1.5 quartile distances outside them, as a written table."""
     known = df.where(col(by).isNotNull())
-    q = grouped_quantiles(known, [by], columns, [0.25, 0.5, 0.75], accuracy)
+    q = grouped_quantiles(known, [by], columns, [0.25, 0.5, 0.75])
     reach = 1.5 * (F.col("q2") - F.col("q0"))
     return stage(
         q.select(
@@ -195,13 +166,13 @@ def _against_fences(df: DataFrame, ids, by: str, columns: Sequence[str], fences:
 
 
 def box_stats(
-    df: DataFrame, by: str, columns: Sequence[str], accuracy: int = 10_000
+    df: DataFrame, by: str, columns: Sequence[str]
 ) -> DataFrame:
     """Quartiles, whiskers and outlier count per category and column.
 
     A whisker ends at the last value inside the fence.
     """
-    fences = _fences(df, by, columns, accuracy)
+    fences = _fences(df, by, columns)
     x, lo, hi = F.col("value"), F.col("fence_lo"), F.col("fence_hi")
     spread = (
         _against_fences(df, [by], by, columns, fences)
@@ -226,10 +197,10 @@ def box_stats(
 
 
 def box_outliers(
-    df: DataFrame, by: str, columns: Sequence[str], key: Sequence[str], accuracy: int = 10_000
+    df: DataFrame, by: str, columns: Sequence[str], key: Sequence[str]
 ) -> DataFrame:
     """The values beyond the fences, with the key of their row."""
-    fences = _fences(df, by, columns, accuracy)
+    fences = _fences(df, by, columns)
     ids = list(dict.fromkeys([*key, by]))
     return (
         _against_fences(df, ids, by, columns, fences)

@@ -1,191 +1,146 @@
 """Exact grouped quantiles that never hold a group in one place.
 
-A sketch brackets each wanted rank between two data values. One more pass then
-keeps only the distinct values inside the brackets, with their counts, and just
-counts everything else. The ranks are found among those few. The sketch decides
-how much work is left, never the answer: where a bracket turns out not to hold
-its rank, the group is read again with the brackets fully open.
+The wanted ranks are closed in on by counting. A pass splits the interval that
+holds a rank into equal cells, counts them, and keeps the cell with the rank;
+its true smallest and largest value are the next interval. Once an interval
+holds few enough values they are put in order. Every pass adds up before the
+shuffle, and the number of values ordered at once is bounded however large or
+uneven the groups are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segprofile.functions.columns import cols, double, unpivot
 from segprofile.functions.staging import stage
 
-# above this many kept values they are cut into cells before one is put in order
-_ORDERED_AT_ONCE = 1_000_000
 _CELLS = 4096
-_INF = float("inf")
+# a pass that does not narrow further (infinite values) must end as well
+_MAX_PASSES = 12
 
 
-def _brackets(
-    df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float], accuracy: int
-) -> DataFrame:
-    """One row per group and feature from one pass: extent, and ``(lo, hi)`` per probability."""
-    margin = 5.0 / accuracy
-    points = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-
-    def figures(i: int, c: str) -> list[Column]:
-        x = double(c)
-        return [
-            F.count(x).alias(f"n{i}"),
-            F.min(x).alias(f"min{i}"),
-            F.max(x).alias(f"max{i}"),
-            F.stddev_samp(x).alias(f"sd{i}"),
-            F.percentile_approx(x, points, accuracy).alias(f"s{i}"),
-        ]
-
-    wide = df.groupBy(*cols(by)).agg(*[e for i, c in enumerate(columns) for e in figures(i, c)])
-    long = wide.select(
+def extents(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``(by..., feature, n, min, max, sd)`` from one pass; features without values left out."""
+    figures = {"n": F.count, "min": F.min, "max": F.max, "sd": F.stddev_samp}
+    wide = df.groupBy(*cols(by)).agg(
+        *[f(double(c)).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in figures.items()]
+    )
+    return wide.select(
         *cols(by),
         F.inline(
             F.array(
                 *[
                     F.struct(
-                        F.lit(c).alias("feature"),
-                        *[F.col(f"{name}{i}").alias(name) for name in ("n", "min", "max", "sd", "s")],
+                        F.lit(c).alias("feature"), *[F.col(f"{name}{i}").alias(name) for name in figures]
                     )
                     for i, c in enumerate(columns)
                 ]
             )
         ),
     ).where("n > 0")
-    few = F.col("n") <= 4 * accuracy
 
-    def bounds(t: int, q: float) -> list[Column]:
-        lo = F.lit(-_INF) if q <= margin else F.when(few, -_INF).otherwise(F.col("s")[2 * t])
-        hi = F.lit(_INF) if q >= 1 - margin else F.when(few, _INF).otherwise(F.col("s")[2 * t + 1])
-        return [lo.alias(f"lo{t}"), hi.alias(f"hi{t}")]
 
-    return long.select(
-        *cols(by),
-        "feature",
-        "n",
-        "min",
-        "max",
-        "sd",
-        *[b for t, q in enumerate(probs) for b in bounds(t, q)],
-    )
+def _targets(extent: DataFrame, at: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The ranks on either side of each quantile, each with the interval known to hold it.
 
+    ``before`` values lie below the interval and ``total`` in it.
+    """
+    sides = []
+    for t, q in enumerate(probs):
+        lower, above = f"floor({float(q)!r}D * (n - 1))", f"({float(q)!r}D * (n - 1)) % 1"
+        sides.append(f"named_struct('t', {t}, 'rank', {lower}, 'weight', 1 - {above})")
+        sides.append(f"named_struct('t', {t}, 'rank', {lower} + 1, 'weight', {above})")
+    return extent.select(
+        *cols(at),
+        F.col("min").alias("lo"),
+        F.col("max").alias("hi"),
+        F.expr("CAST(0 AS BIGINT) AS before"),
+        F.col("n").alias("total"),
+        F.expr("0 AS segment"),
+        F.expr(f"inline(array({', '.join(sides)}))"),
+    ).where("weight > 0")
 
-def _kept_values(df: DataFrame, by, columns, brackets: DataFrame, n_probs: int) -> DataFrame:
-    """``(by..., feature, segment, value, n)`` as a written table.
 
-    A value belongs to the first bracket that does not end below it; segments
-    are therefore in value order. Inside the bracket the value itself is kept,
-    before it (null) only the count; values beyond the last bracket are dropped.
+def _values_within(
+    df: DataFrame, by: Sequence[str], columns: Sequence[str], targets: DataFrame, segments: int
+) -> DataFrame:
+    """``(by..., feature, segment, lo, hi, value)``: the values inside any interval.
+
+    Intervals of one group are equal or apart, and numbered as segments.
     """
     at = [*by, "feature"]
-    x = F.col("value")
-    ends = brackets.select(*cols(at), *[f"{e}{t}" for t in range(n_probs) for e in ("lo", "hi")])
-    segment, kept = F.lit(None).cast("int"), F.lit(None).cast("double")
-    for t in reversed(range(n_probs)):
-        here = x <= F.col(f"hi{t}")
-        segment = F.when(here, F.lit(t)).otherwise(segment)
-        kept = F.when(here, F.when(x >= F.col(f"lo{t}"), x)).otherwise(kept)
-    # the brackets are a written table, so their known size decides how they are joined
-    found = unpivot(df, by, columns, "double").where(x.isNotNull()).join(ends, at)
-    return stage(
-        found.where(x <= F.col(f"hi{n_probs - 1}"))
-        .select(*cols(at), segment.alias("segment"), kept.alias("value"))
-        .groupBy(*cols(at), "segment", "value")
-        .agg(F.count("*").alias("n"))
+    each = range(segments)
+    intervals = targets.groupBy(*cols(at)).agg(
+        *[F.expr(f"max({e}) FILTER (WHERE segment = {i}) AS {e}{i}") for i in each for e in ("lo", "hi")]
     )
+    inside = " ".join(f"WHEN value BETWEEN lo{i} AND hi{i} THEN {i}" for i in each)
 
+    def end(e: str):
+        return F.expr("CASE segment " + " ".join(f"WHEN {i} THEN {e}{i}" for i in each) + f" END AS {e}")
 
-def _segments(kept: DataFrame, at: Sequence[str]) -> DataFrame:
-    """Per segment the rank of its first kept value and the extent of the kept ones."""
-    x = F.col("value")
-    spans = kept.groupBy(*cols(at), "segment").agg(
-        F.sum("n").alias("total"),
-        F.coalesce(F.sum(F.when(x.isNull(), F.col("n"))), F.lit(0)).alias("before"),
-        F.min("value").alias("first"),
-        F.max("value").alias("last"),
-    )
-    earlier = W.partitionBy(*cols(at)).orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("total").over(earlier), F.lit(0))
-    return spans.select(
-        *cols(at),
-        "segment",
-        "first",
-        "last",
-        (start + F.col("before")).alias("from_rank"),
-        (start + F.col("total")).alias("to_rank"),
+    # targets are read from a written table, so their known size decides how they are joined
+    return (
+        unpivot(df, by, columns, "double")
+        .where("value IS NOT NULL")
+        .join(intervals, at)
+        .withColumn("segment", F.expr(f"CASE {inside} END"))
+        .where("segment IS NOT NULL")
+        .select(*cols(at), "segment", end("lo"), end("hi"), "value")
     )
 
 
-def _targets(brackets: DataFrame, at: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """``(by..., feature, t, rank, weight)``: the neighbouring ranks each quantile lies between."""
-    rows = []
-    for t, q in enumerate(probs):
-        position = F.lit(float(q)) * (F.col("n") - 1)
-        above = position - F.floor(position)
-        for rank, weight in ((F.floor(position), 1.0 - above), (F.floor(position) + 1, above)):
-            rows.append(F.struct(F.lit(t).alias("t"), rank.alias("rank"), weight.alias("weight")))
-    return brackets.select(*cols(at), F.inline(F.array(*rows))).where("weight > 0")
-
-
-def _missed(segments: DataFrame, targets: DataFrame, at: Sequence[str]) -> DataFrame:
-    """Groups with a wanted rank that no bracket holds."""
-    held = (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
-    hits = targets.join(segments, at).where(held)
-    return targets.join(hits.select(*cols(at), "t", "rank"), [*at, "t", "rank"], "left_anti").select(
-        *cols(at)
-    ).distinct()
-
-
-def _values_at(kept: DataFrame, segments: DataFrame, targets: DataFrame, at: Sequence[str]) -> DataFrame:
-    """``(by..., feature, t, quantile)`` from the values at the wanted ranks."""
-    x = F.col("value")
-    values = kept.where(x.isNotNull())
+def _narrowed(df, by, columns, targets: DataFrame, segments: int) -> DataFrame:
+    """Each target with the cell of its interval that holds its rank."""
+    at = [*by, "feature"]
     part = [*at, "segment"]
-    wanted = targets.join(segments, at).where(
-        (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
+    place = f"least(floor((value - lo) / (hi - lo) * {_CELLS}), {_CELLS - 1})"
+    cell = F.expr(f"CASE WHEN hi > lo THEN {place} ELSE 0 END AS cell")
+    cells = (
+        _values_within(df, by, columns, targets, segments)
+        .groupBy(*cols(part), cell)
+        .agg(F.count("*").alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
     )
-    if kept.count() > _ORDERED_AT_ONCE:
-        # count equal slices of each segment first and put only the slices in order that hold a rank
-        width = F.col("last") - F.col("first")
-        slot = F.when(
-            width > 0, F.least(F.floor((x - F.col("first")) / width * _CELLS), F.lit(_CELLS - 1))
-        )
-        placed = values.join(segments, part).select(
-            *cols(part), "value", "n", "from_rank", F.coalesce(slot, F.lit(0)).alias("cell")
-        )
-        before = W.partitionBy(*cols(part)).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-        cells = (
-            placed.groupBy(*cols(part), "cell", "from_rank")
-            .agg(F.sum("n").alias("total"))
-            .withColumn("start", F.col("from_rank") + F.coalesce(F.sum("total").over(before), F.lit(0)))
-            .select(*cols(part), "cell", "start", "total")
-        )
-        wanted = (
-            wanted.select(*cols(part), "t", "rank", "weight")
-            .join(cells, part)
-            .where(
-                (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("total"))
-            )
+    earlier = W.partitionBy(*cols(part)).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    start = F.col("before") + F.col("earlier")
+    return (
+        targets.join(cells, part)
+        .where((F.col("rank") >= start) & (F.col("rank") < start + F.col("n")))
+        .select(
+            *cols(at),
+            F.col("first").alias("lo"),
+            F.col("last").alias("hi"),
+            start.alias("before"),
+            F.col("n").alias("total"),
+            "t",
+            "rank",
+            "weight",
         )
-        part = [*part, "cell"]
-        chosen = wanted.select(*cols(part), "start").distinct()
-        values = placed.select(*cols(part), "value", "n").join(chosen, part)
-    else:
-        starts = segments.select(*cols(part), F.col("from_rank").alias("start"))
-        values = values.join(starts, part)
-    upto = W.partitionBy(*cols(part)).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = values.withColumn("end", F.col("start") + F.sum("n").over(upto)).select(
-        *cols(part), "value", "n", "end"
+        .withColumn("segment", F.dense_rank().over(W.partitionBy(*cols(at)).orderBy("before")) - 1)
     )
-    held = (F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end"))
+
+
+def _ordered(df, by, columns, targets: DataFrame, segments: int) -> DataFrame:
+    """``(by..., feature, t, quantile)`` by ordering what is left in the intervals."""
+    at = [*by, "feature"]
+    part = [*at, "segment"]
+    kept = (
+        _values_within(df, by, columns, targets, segments)
+        .groupBy(*cols(part), "value")
+        .agg(F.count("*").alias("n"))
+    )
+    upto = W.partitionBy(*cols(part)).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = kept.withColumn("upto", F.sum("n").over(upto))
+    end = F.col("before") + F.col("upto")
+    below, above = F.col("below"), F.col("above")
     return (
-        wanted.select(*cols(part), "t", "rank", "weight")
-        .join(ranked, part)
-        .where(held)
+        targets.join(ranked, part)
+        .where((F.col("rank") >= end - F.col("n")) & (F.col("rank") < end))
         .groupBy(*cols(at), "t")
         .agg(
             F.min("value").alias("below"),
@@ -195,8 +150,8 @@ def _values_at(kept: DataFrame, segments: DataFrame, targets: DataFrame, at: Seq
         .select(
             *cols(at),
             "t",
-            F.when(F.col("below") == F.col("above"), F.col("below"))
-            .otherwise(F.col("below") + (F.col("above") - F.col("below")) * F.col("weight"))
+            F.when(below == above, below)
+            .otherwise(below + (above - below) * F.col("weight"))
             .alias("quantile"),
         )
     )
@@ -207,32 +162,28 @@ def grouped_quantiles(
     by: Sequence[str],
     columns: Sequence[str],
     probs: Sequence[float],
-    accuracy: int = 10_000,
+    order_at_once: int = 100_000,
 ) -> DataFrame:
     """Exact quantiles, linear between neighbours, with the extent of the values.
 
-    Output: ``(by..., feature, n, min, max, sd, q0, q1, ...)``. Probabilities go
-    upwards; missing values are skipped; ``by`` columns must not be missing.
+    Output: ``(by..., feature, n, min, max, sd, q0, q1, ...)``. Missing values are
+    skipped; ``by`` columns must not be missing. ``order_at_once`` is the number
+    of values one task may have to put in order.
     """
-    if list(probs) != sorted(probs):
-        raise ValueError("probabilities must be in ascending order")
     at = [*by, "feature"]
-    brackets = stage(_brackets(df, by, columns, probs, accuracy))
-
-    def resolve(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-        kept = _kept_values(df, by, columns, table, len(probs))
-        segments, targets = _segments(kept, at), _targets(table, at, probs)
-        return _values_at(kept, segments, targets, at), _missed(segments, targets, at)
-
-    found, missed = resolve(brackets)
-    if not missed.isEmpty():
-        missed = stage(missed)
-        opened = brackets.join(missed, at, "left_semi").withColumns(
-            {f"{e}{t}": F.lit(v) for t in range(len(probs)) for e, v in (("lo", -_INF), ("hi", _INF))}
-        )
-        again, _ = resolve(stage(opened))
-        found = found.join(missed, at, "left_anti").unionByName(again)
+    extent = stage(extents(df, by, columns))
+    targets = _targets(extent, at, probs)
+    state = [F.max(F.when(F.col("lo") < F.col("hi"), F.col("total"))), F.max("segment")]
+    for _ in range(_MAX_PASSES):
+        unordered, last_segment = targets.agg(*state).first()
+        segments = (last_segment or 0) + 1
+        if unordered is None or unordered <= order_at_once:
+            break
+        targets = stage(_narrowed(df, by, columns, targets, segments))
+    else:
+        segments = targets.agg(state[1]).first()[0] + 1
+    found = _ordered(df, by, columns, targets, segments)
     wide = found.groupBy(*cols(at)).agg(
         *[F.max(F.when(F.col("t") == t, F.col("quantile"))).alias(f"q{t}") for t in range(len(probs))]
     )
-    return brackets.select(*cols(at), "n", "min", "max", "sd").join(wide, at)
+    return extent.join(wide, at)

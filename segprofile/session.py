@@ -11,6 +11,8 @@ SETTINGS = {
     # wide tables: keep generated code for aggregates over many columns
     "spark.sql.codegen.maxFields": "400",
     "spark.sql.session.timeZone": "UTC",
+    # do not record a Python stack for every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
