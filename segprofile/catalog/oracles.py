@@ -71,7 +71,7 @@ ORACLES["column_roles"] = f"WITH {_GAPS} " + " UNION ALL ".join(
     f"SELECT '{c}' AS name, '{t}' AS type, '{r}' AS role, count(*) - count({c}) AS n_missing FROM gaps"
     for c, t, r in _ROLES
 )
-ORACLES["columns_from"] = "SELECT o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+ORACLES["columns_from"] = "SELECT p_type, p_size, p_retailprice FROM part"
 ORACLES["relabel"] = """
 SELECT c_custkey AS klant, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS land,
        CASE c_mktsegment WHEN 'BUILDING' THEN 'BOUW' WHEN 'MACHINERY' THEN 'MACHINES'
@@ -195,6 +195,11 @@ ORACLES["mode_first_seen"] = f"""
 WITH {_SECTIONS}
 SELECT p_brand, t.p_type, n.p_name FROM {_mode("sections", "p_brand", "p_type", "p_partkey")} t
 JOIN {_mode("sections", "p_brand", "p_name", "p_partkey")} n USING (p_brand)"""
+ORACLES["mode_first_seen_lines"] = f"""
+WITH lines AS (SELECT l_returnflag, l_linestatus, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity,
+  {{'a': l_orderkey, 'b': l_linenumber}} AS line FROM lineitem)
+SELECT l_returnflag, s.l_linestatus, q.quantity FROM {_mode("lines", "l_returnflag", "l_linestatus", "line")} s
+JOIN {_mode("lines", "l_returnflag", "quantity", "line")} q USING (l_returnflag)"""
 ORACLES["profile_table"] = f"""
 WITH {_SECTIONS},
 means AS (SELECT p_type, {_each(_SEC_NUM, "round(avg({c}), 6) AS {c}")} FROM sections GROUP BY p_type)

@@ -56,7 +56,7 @@ def column_roles(spark, d):
 
 @query
 def columns_from(spark, d):
-    return filters.columns_from(table(spark, d, "orders"), "o_orderstatus").drop("o_orderdate")
+    return filters.columns_from(table(spark, d, "part"), "p_type")
 
 
 @query
@@ -300,6 +300,15 @@ def mode_first_seen(spark, d):
     ).orderBy("p_brand")
 
 
+@query
+def mode_first_seen_lines(spark, d):
+    """The row key has several columns."""
+    lines = table(spark, d, "lineitem").withColumn("quantity", F.col("l_quantity").cast("int").cast("string"))
+    return profiles.mode_first_seen(
+        lines, "l_returnflag", ["l_linestatus", "quantity"], ["l_orderkey", "l_linenumber"]
+    ).orderBy("l_returnflag")
+
+
 @query
 def profile_table(spark, d):
     return rounded(
@@ -560,6 +569,13 @@ def kmeans_clusters(spark, d):
     )
 
 
+@query
+def cluster_points(spark, d):
+    """Every part with its cluster and its place on three principal components."""
+    rows = stage(_clusters(spark, d).rows)
+    return reduction.principal_components(rows, SECTIONS.numeric, ["p_partkey", "cluster"]).rows
+
+
 @query
 def kmeans_small_n(spark, d):
     """Three rows, five clusters wanted: every row its own cluster."""

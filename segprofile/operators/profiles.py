@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segprofile.functions.columns import col, cols, difference, double, rows_from_columns, unpivot
-from segprofile.spec import FeatureSpec
+from segprofile.functions.staging import stage
 
 
 def value_counts(
@@ -141,12 +141,36 @@ def mode_first_seen(
 ) -> DataFrame:
     """Most frequent value per category, on equal counts the one with the smallest row key."""
     names = difference(categorical, [by])
-    long = unpivot(_known(df, by), [by, *key], names, "string")
-    first = F.struct(*cols(key)) if len(key) > 1 else col(key[0])
-    counts = long.groupBy(col(by), "feature", "value").agg(
-        F.count("*").alias("n"), F.min(first).alias("first")
+    known = _known(df, by)
+    if len(key) == 1:
+        long = unpivot(known, [by, *key], names, "string")
+        counts = long.groupBy(col(by), "feature", "value").agg(
+            F.count("*").alias("n"), F.min(col(key[0])).alias("first")
+        )
+        return counts.groupBy(col(by)).agg(*_pick(names, [-F.col("n"), F.col("first")]))
+    # the smallest of a several-column key costs a sort, so only tied values are looked up
+    at = [by, "feature"]
+    counts = value_counts(known, [by], names, keep_missing=True)
+    best = counts.where(F.col("value").isNotNull()).groupBy(*cols(at)).agg(F.max("n").alias("most"))
+    leaders = stage(
+        counts.join(best, at, "left")
+        .where(F.col("value").isNull() | (F.col("n") == F.col("most")))
+        .select(*cols(at), "value")
     )
-    return counts.groupBy(col(by)).agg(*_pick(names, [-F.col("n"), F.col("first")]))
+    present = leaders.where(F.col("value").isNotNull())
+    tied = present.groupBy(*cols(at)).agg(F.count("*").alias("ties")).where("ties > 1")
+    contenders = present.join(tied, at, "left_semi")
+    if contenders.isEmpty():
+        firsts = leaders.withColumn("first", F.lit(0))
+    else:
+        long = unpivot(known, [by, *key], names, "string")
+        seen = (
+            long.join(stage(contenders), [*at, "value"], "left_semi")
+            .groupBy(*cols(at), "value")
+            .agg(F.min(F.struct(*cols(key))).alias("first"))
+        )
+        firsts = leaders.join(seen, [*at, "value"], "left")
+    return firsts.groupBy(col(by)).agg(*_pick(names, [F.col("first")]))
 
 
 def profile_table(
