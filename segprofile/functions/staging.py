@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str | None:
@@ -24,9 +25,8 @@ def staging_root(spark: SparkSession) -> str | None:
     if named:
         return named
     if spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="segprofile-")
-        spark.conf.set(_SETTING, named)
-        return named
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="segprofile-"))
+        return spark.sparkContext.getCheckpointDir()
     return None
 
 
@@ -38,4 +38,14 @@ def stage(df: DataFrame) -> DataFrame:
         raise RuntimeError(f"set {_SETTING} to a folder all executors share")
     path = f"{root.rstrip('/')}/segprofile-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the tables written so far, once no result that reads them is needed any more."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

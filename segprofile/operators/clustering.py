@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segprofile.functions.columns import col, cols, double, share
-from segprofile.operators.filters import bad_value_report, drop_missing
+from segprofile.operators.filters import drop_missing
 from segprofile.operators.profiles import mode_first_seen, profile_table
 
 
@@ -54,24 +54,34 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[scaled.get(c, col(c)) for c in df.columns])
 
 
-def prepare_features(df: DataFrame, columns: Sequence[str], missing: str = "error") -> DataFrame:
-    """Guard the feature matrix: ``error`` refuses bad values, ``drop`` and ``impute`` mend missing ones."""
+def mend_features(df: DataFrame, columns: Sequence[str], missing: str = "error") -> DataFrame:
+    """What to do about missing numbers: ``error`` leaves them to be refused, ``drop``, ``impute``."""
     if missing == "drop":
-        df = drop_missing(df, columns)
-    elif missing == "impute":
-        df = impute_mean(df, columns)
-    elif missing != "error":
-        raise ValueError(f"unknown treatment of missing values: {missing!r}")
-    bad = F.col("n_null") + F.col("n_nan") + F.col("n_infinite")
-    found = [r["feature"] for r in bad_value_report(df, columns).where(bad > 0).collect()]
-    if found:
-        raise BadValuesError(f"missing or infinite values in {found}")
-    return df
+        return drop_missing(df, columns)
+    if missing == "impute":
+        return impute_mean(df, columns)
+    if missing == "error":
+        return df
+    raise ValueError(f"unknown treatment of missing values: {missing!r}")
 
 
-def choose_k(df: DataFrame, k: int = 5) -> int:
-    """At most as many clusters as rows."""
-    return min(k, df.limit(k).count())
+def fit_scales(df: DataFrame, columns: Sequence[str]) -> tuple[int, list[tuple]]:
+    """Row count, and mean and population deviation per column, in one guarded pass.
+
+    Missing, NaN or infinite values anywhere in the columns are refused.
+    """
+    figures = [F.count("*").alias("n")]
+    for i, c in enumerate(columns):
+        figures += [
+            F.count_if(double(c).isNull() | (F.abs(double(c)) == float("inf"))).alias(f"bad{i}"),
+            F.avg(double(c)).alias(f"m{i}"),
+            F.stddev_pop(double(c)).alias(f"s{i}"),
+        ]
+    row = df.agg(*figures).first()
+    bad = [c for i, c in enumerate(columns) if row[f"bad{i}"]]
+    if bad:
+        raise BadValuesError(f"missing or infinite values in {bad}")
+    return row["n"], [(row[f"m{i}"], row[f"s{i}"]) for i in range(len(columns))]
 
 
 @dataclass(frozen=True)
@@ -104,17 +114,19 @@ def cluster_rows(
 ) -> Clustering:
     """k-means on the standardised columns, the cheapest of several restarts.
 
+    There are at most as many clusters as rows.
+
     Clusters are numbered by size, largest first, then by centre. The
     standardised vectors, and nothing else of the table, are cached while the
     restarts, run side by side, read them. A fit ends when the squared moves of
     all centres add up to no more than 1e-4.
     """
-    df = prepare_features(df, columns, missing)
-    k = choose_k(df, k)
+    df = mend_features(df, columns, missing)
+    n, fitted = fit_scales(df, columns)
+    k = min(k, n)
     if k == 0:
         empty = df.withColumn("cluster", F.lit(None).cast("int")).where(F.lit(False))
         return Clustering(empty, 0, 0.0, None)
-    fitted = _means_and_deviations(df, columns)
     scaled = [f"_z{i}" for i in range(len(columns))]
     matrix = df.select(
         "*",

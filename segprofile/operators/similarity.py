@@ -19,7 +19,7 @@ from segprofile.functions.staging import stage
 
 # profiles travel inside the plan as one array, so their number is bounded;
 # more profiles are scored in blocks of this size
-MAX_PROFILES = 500
+MAX_PROFILES = 1000
 _BUCKETS = 64
 
 

@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from segprofile import FeatureSpec, FilterSpec, OneOf, Range
 from segprofile.functions.columns import percent_label
-from segprofile.functions.staging import stage, staging_root
+from segprofile.functions.staging import clear_staged, stage, staging_root
 from segprofile.plans import analyses
 from segprofile.sources.readers import column_roles, read_table, relabel, relabel_from
 from segprofile.sources.report import read_report, write_report
@@ -81,6 +83,9 @@ def test_staging_uses_the_named_folder(rows, spark):
     staged = stage(rows)
     assert root in staged.inputFiles()[0] and staged.schema == rows.schema
     assert stage(rows.where("false")).count() == 0
+    folder = staged.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and clear_staged(spark) >= 2
+    assert not os.path.exists(folder) and clear_staged(spark) == 0
 
 
 def test_match_report(rows, tmp_path):
