@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from segprofile.functions.columns import col, cols, unpivot
+from segprofile.functions.columns import col, cols, double
 from segprofile.functions.staging import stage
 from segprofile.operators.quantiles import extents, grouped_quantiles
 
@@ -51,27 +51,47 @@ def auto_bins(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stage(laid_out.select("feature", "n", "min", "max", "sd", "origin", "width", "bins"))
 
 
+def _layout_rows(layout: DataFrame, columns: Sequence[str]) -> dict[int, Row]:
+    """The layout, a row per column of the table, by the column's position."""
+    found = {r["feature"]: r for r in layout.collect()}
+    return {i: found[c] for i, c in enumerate(columns) if c in found}
+
+
+def _position(columns: Sequence[str]):
+    return (F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("feature")) - 1).cast("int")
+
+
 def histogram(df: DataFrame, columns: Sequence[str], layout: DataFrame) -> DataFrame:
     """Counts per bin, empty bins included: ``(feature, bin, lo, hi, n)``.
 
-    ``layout`` comes from ``fixed_bins`` or ``auto_bins`` and has one row per
-    column, hence the broadcast. Rows are counted where they are read; only bin
-    counts are shuffled.
+    ``layout`` comes from ``fixed_bins`` or ``auto_bins``; its few numbers become
+    constants of the plan. Bins are worked out side by side in one pass and
+    counted where the rows are read; only bin counts are shuffled.
     """
     layout = layout.select("feature", "origin", "width", "bins")
-    index = F.floor((F.col("value") - F.col("origin")) / F.col("width"))
-    counts = (
-        unpivot(df, [], columns, "double")
-        .where(F.col("value").isNotNull())
-        .join(F.broadcast(layout), "feature")
-        .select("feature", F.least(index, F.col("bins") - 1).alias("bin"))
-        .groupBy("feature", "bin")
-        .agg(F.count("*").alias("n"))
-    )
+
+    def bin_of(i: int, r: Row):
+        index = F.floor((double(r["feature"]) - F.lit(r["origin"])) / F.lit(r["width"]))
+        inside = F.when(double(r["feature"]).isNotNull(), F.least(index, F.lit(r["bins"] - 1)))
+        return F.struct(F.lit(i).alias("position"), inside.alias("bin"))
+
+    bins = [bin_of(i, r) for i, r in _layout_rows(layout, columns).items()]
     every = layout.select(
-        "feature", "origin", "width", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)).alias("bin")
+        "*",
+        _position(columns).alias("position"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)).alias("bin"),
     )
-    return every.join(counts, ["feature", "bin"], "left").select(
+    if bins:
+        counts = (
+            df.select(F.inline(F.array(*bins)))
+            .where("bin IS NOT NULL")
+            .groupBy("position", "bin")
+            .agg(F.count("*").alias("n"))
+        )
+        every = every.join(counts, ["position", "bin"], "left")
+    else:
+        every = every.withColumn("n", F.lit(0).cast("bigint"))
+    return every.select(
         "feature",
         "bin",
         (F.col("origin") + F.col("bin") * F.col("width")).alias("lo"),
@@ -94,43 +114,50 @@ def kde_curve(
         layout.where((F.col("sd") > 0) & (F.col("max") > F.col("min")))
         .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
         .withColumn("step", (F.col("max") - F.col("min")) / (grid - 1))
-        .select("feature", "min", "width", "h", "step")
+        .select("feature", _position(columns).alias("position"), "min", "width", "h", "step")
     )
-    cell_width = F.col("h") / _CELLS_PER_BANDWIDTH
-    cell = F.round((F.col("value") - F.col("min")) / cell_width).cast("bigint")
-    u = (F.col("value") - F.col("min")) / F.col("h") - F.col("cell") / float(_CELLS_PER_BANDWIDTH)
-    rows = (
-        unpivot(df, [], columns, "double")
-        .where(F.col("value").isNotNull())
-        .join(F.broadcast(setup.select("feature", "min", "h")), "feature")
-        .select("feature", "value", "min", "h", cell.alias("cell"))
-        .select("feature", "cell", u.alias("u"))
-        .withColumn("e", F.exp(F.lit(-0.5) * F.col("u") * F.col("u")))
-    )
-    powers = [F.col("e")]
+
+    def cell_of(i: int, r: Row):
+        z = (double(r["feature"]) - F.lit(r["min"])) / F.lit(r["h"])
+        cell = F.rint(z * float(_CELLS_PER_BANDWIDTH))
+        return F.struct(
+            F.lit(i).alias("position"),
+            cell.cast("bigint").alias("cell"),
+            (z - cell / float(_CELLS_PER_BANDWIDTH)).alias("u"),
+        )
+
+    cells = [cell_of(i, r) for i, r in _layout_rows(setup, columns).items()]
+    points = setup.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+    if not cells:
+        return points.select("feature", "point", F.col("min").alias("x"), F.col("h").alias("density"))
+    powers = [F.exp(F.lit(-0.5) * F.col("u") * F.col("u"))]
     for _ in range(_ORDER):
         powers.append(powers[-1] * F.col("u"))
-    moments = rows.groupBy("feature", "cell").agg(*[F.sum(p).alias(f"s{m}") for m, p in enumerate(powers)])
+    moments = (
+        df.select(F.inline(F.array(*cells)))
+        .where("cell IS NOT NULL")
+        .groupBy("position", "cell")
+        .agg(*[F.sum(p).alias(f"s{m}") for m, p in enumerate(powers)])
+    )
 
-    center = F.col("cell") * cell_width
+    center = F.col("cell") * F.col("h") / _CELLS_PER_BANDWIDTH
     reach = F.lit(float(_REACH)) * F.col("h")
     first = F.greatest(F.ceil((center - reach) / F.col("step")), F.lit(0).cast("bigint"))
     last = F.least(F.floor((center + reach) / F.col("step")), F.lit(grid - 1).cast("bigint"))
-    far = (F.col("point") * F.col("step") - center) / F.col("h")
     series = F.col(f"s{_ORDER}") / math.factorial(_ORDER)
     for m in reversed(range(_ORDER)):
         series = series * F.col("T") + F.col(f"s{m}") / math.factorial(m)
+    # the setup has one row per column of the table, hence the broadcast
     sums = (
-        moments.join(F.broadcast(setup.select("feature", "h", "step")), "feature")
+        moments.join(F.broadcast(setup.select("position", "h", "step")), "position")
         .where(first <= last)
         .select("*", F.explode(F.sequence(first, last)).alias("point"))
-        .withColumn("T", far)
-        .groupBy("feature", F.col("point").cast("int").alias("point"))
+        .withColumn("T", (F.col("point") * F.col("step") - center) / F.col("h"))
+        .groupBy("position", F.col("point").cast("int").alias("point"))
         .agg(F.sum(F.exp(F.lit(-0.5) * F.col("T") * F.col("T")) * series).alias("kernel"))
     )
-    points = setup.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     scale = F.col("width") / (F.col("h") * math.sqrt(2.0 * math.pi))
-    return points.join(sums, ["feature", "point"], "left").select(
+    return points.join(sums, ["position", "point"], "left").select(
         "feature",
         "point",
         (F.col("min") + F.col("point") * F.col("step")).alias("x"),
@@ -157,30 +184,58 @@ def _fences(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _against_fences(df: DataFrame, ids, by: str, columns: Sequence[str], fences: DataFrame) -> DataFrame:
-    return (
-        unpivot(df, ids, columns, "double")
-        .where(F.col("value").isNotNull())
-        .join(fences.select(col(by), "feature", "fence_lo", "fence_hi"), [by, "feature"])
+def _beside_fences(df: DataFrame, ids, by: str, columns: Sequence[str], fences: DataFrame) -> DataFrame:
+    """Rows ``(ids..., x0, x1, ..., lo0, hi0, ...)``, joined once per row, by category."""
+    wide = (
+        fences.withColumn("position", _position(columns))
+        .groupBy(col(by))
+        .agg(
+            *[
+                F.expr(f"max(fence_{e}) FILTER (WHERE position = {i}) AS {e}{i}")
+                for i in range(len(columns))
+                for e in ("lo", "hi")
+            ]
+        )
     )
+    values = [double(c).alias(f"x{i}") for i, c in enumerate(columns)]
+    return df.select(*cols(ids), *values).join(wide, [by])
 
 
-def box_stats(
-    df: DataFrame, by: str, columns: Sequence[str]
-) -> DataFrame:
+def box_stats(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers and outlier count per category and column.
 
     A whisker ends at the last value inside the fence.
     """
     fences = _fences(df, by, columns)
-    x, lo, hi = F.col("value"), F.col("fence_lo"), F.col("fence_hi")
     spread = (
-        _against_fences(df, [by], by, columns, fences)
-        .groupBy(col(by), "feature")
+        _beside_fences(df, [by], by, columns, fences)
+        .groupBy(col(by))
         .agg(
-            F.min(F.when(x >= lo, x)).alias("inner_lo"),
-            F.max(F.when(x <= hi, x)).alias("inner_hi"),
-            F.count_if(~x.between(lo, hi)).alias("n_outliers"),
+            *[
+                F.expr(figure.format(i=i))
+                for i in range(len(columns))
+                for figure in (
+                    "min(x{i}) FILTER (WHERE x{i} >= lo{i}) AS inner_lo{i}",
+                    "max(x{i}) FILTER (WHERE x{i} <= hi{i}) AS inner_hi{i}",
+                    "count_if(x{i} < lo{i} OR x{i} > hi{i}) AS outside{i}",
+                )
+            ]
+        )
+        .select(
+            col(by),
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(c).alias("feature"),
+                            F.col(f"inner_lo{i}").alias("inner_lo"),
+                            F.col(f"inner_hi{i}").alias("inner_hi"),
+                            F.col(f"outside{i}").alias("n_outliers"),
+                        )
+                        for i, c in enumerate(columns)
+                    ]
+                )
+            ),
         )
     )
     return spread.join(fences, [by, "feature"]).select(
@@ -202,8 +257,16 @@ def box_outliers(
     """The values beyond the fences, with the key of their row."""
     fences = _fences(df, by, columns)
     ids = list(dict.fromkeys([*key, by]))
+
+    def beyond(i: int, c: str):
+        x = F.col(f"x{i}")
+        outside = (x < F.col(f"lo{i}")) | (x > F.col(f"hi{i}"))
+        return F.when(outside, F.struct(F.lit(c).alias("feature"), x.alias("value")))
+
+    found = F.inline(F.array(*[beyond(i, c) for i, c in enumerate(columns)]))
     return (
-        _against_fences(df, ids, by, columns, fences)
-        .where(~F.col("value").between(F.col("fence_lo"), F.col("fence_hi")))
+        _beside_fences(df, ids, by, columns, fences)
+        .select(*cols(ids), found)
+        .where("feature IS NOT NULL")
         .select(*cols(key), col(by).alias("category"), "feature", "value")
     )

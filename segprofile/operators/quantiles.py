@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from segprofile.functions.columns import cols, double, unpivot
+from segprofile.functions.columns import cols, double
 from segprofile.functions.staging import stage
 
 _CELLS = 4096
@@ -66,50 +66,68 @@ def _targets(extent: DataFrame, at: Sequence[str], probs: Sequence[float]) -> Da
     ).where("weight > 0")
 
 
-def _values_within(
+def _located(
     df: DataFrame, by: Sequence[str], columns: Sequence[str], targets: DataFrame, segments: int
 ) -> DataFrame:
-    """``(by..., feature, segment, lo, hi, value)``: the values inside any interval.
+    """``(by..., slot, cell, value)``: the values inside any interval, and their cell of it.
 
-    Intervals of one group are equal or apart, and numbered as segments.
+    Intervals of one group are equal or apart, and numbered as segments; a slot
+    is a feature and a segment. Rows meet the intervals of all features at once,
+    by group, so nothing is multiplied but the values that are kept.
     """
-    at = [*by, "feature"]
-    each = range(segments)
-    intervals = targets.groupBy(*cols(at)).agg(
-        *[F.expr(f"max({e}) FILTER (WHERE segment = {i}) AS {e}{i}") for i in each for e in ("lo", "hi")]
+    slots = [(i, s, i * segments + s) for i in range(len(columns)) for s in range(segments)]
+    names = F.array(*[F.lit(c) for c in columns])
+    intervals = (
+        targets.withColumn("slot", (F.array_position(names, F.col("feature")) - 1) * segments + F.col("segment"))
+        .groupBy(*cols(by))
+        .agg(*[F.expr(f"max({e}) FILTER (WHERE slot = {j}) AS {e}{j}") for *_, j in slots for e in ("lo", "hi")])
     )
-    inside = " ".join(f"WHEN value BETWEEN lo{i} AND hi{i} THEN {i}" for i in each)
+    rows = df.select(*cols(by), *[double(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    if by:
+        # the targets are a written table, so their known size decides how they are joined
+        rows = rows.join(intervals, list(by))
+    else:
+        # one row, two numbers per slot
+        rows = rows.withColumns({c: F.lit(v).cast("double") for c, v in intervals.first().asDict().items()})
 
-    def end(e: str):
-        return F.expr("CASE segment " + " ".join(f"WHEN {i} THEN {e}{i}" for i in each) + f" END AS {e}")
+    def place(i: int) -> str:
+        cases = [
+            f"WHEN x{i} BETWEEN lo{j} AND hi{j} THEN named_struct('slot', {j}, 'cell', "
+            f"CASE WHEN hi{j} > lo{j} THEN CAST(least(floor((x{i} - lo{j}) / (hi{j} - lo{j}) * {_CELLS}), "
+            f"{_CELLS - 1}) AS INT) ELSE 0 END, 'value', x{i})"
+            for k, _, j in slots
+            if k == i
+        ]
+        return f"CASE {' '.join(cases)} END"
 
-    # targets are read from a written table, so their known size decides how they are joined
-    return (
-        unpivot(df, by, columns, "double")
-        .where("value IS NOT NULL")
-        .join(intervals, at)
-        .withColumn("segment", F.expr(f"CASE {inside} END"))
-        .where("segment IS NOT NULL")
-        .select(*cols(at), "segment", end("lo"), end("hi"), "value")
-    )
+    places = ", ".join(place(i) for i in range(len(columns)))
+    return rows.select(*cols(by), F.expr(f"inline(array({places}))")).where("slot IS NOT NULL")
+
+
+def _feature_and_segment(df: DataFrame, columns: Sequence[str], segments: int) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in columns])
+    return df.withColumns(
+        {
+            "feature": F.get(names, (F.col("slot") / segments).cast("int")),
+            "segment": F.col("slot") % segments,
+        }
+    ).drop("slot")
 
 
 def _narrowed(df, by, columns, targets: DataFrame, segments: int) -> DataFrame:
     """Each target with the cell of its interval that holds its rank."""
     at = [*by, "feature"]
     part = [*at, "segment"]
-    place = f"least(floor((value - lo) / (hi - lo) * {_CELLS}), {_CELLS - 1})"
-    cell = F.expr(f"CASE WHEN hi > lo THEN {place} ELSE 0 END AS cell")
     cells = (
-        _values_within(df, by, columns, targets, segments)
-        .groupBy(*cols(part), cell)
+        _located(df, by, columns, targets, segments)
+        .groupBy(*cols(by), "slot", "cell")
         .agg(F.count("*").alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
     )
-    earlier = W.partitionBy(*cols(part)).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*cols(by), "slot").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     start = F.col("before") + F.col("earlier")
     return (
-        targets.join(cells, part)
+        targets.join(_feature_and_segment(cells, columns, segments), part)
         .where((F.col("rank") >= start) & (F.col("rank") < start + F.col("n")))
         .select(
             *cols(at),
@@ -128,18 +146,17 @@ def _narrowed(df, by, columns, targets: DataFrame, segments: int) -> DataFrame:
 def _ordered(df, by, columns, targets: DataFrame, segments: int) -> DataFrame:
     """``(by..., feature, t, quantile)`` by ordering what is left in the intervals."""
     at = [*by, "feature"]
-    part = [*at, "segment"]
     kept = (
-        _values_within(df, by, columns, targets, segments)
-        .groupBy(*cols(part), "value")
+        _located(df, by, columns, targets, segments)
+        .groupBy(*cols(by), "slot", "value")
         .agg(F.count("*").alias("n"))
     )
-    upto = W.partitionBy(*cols(part)).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = kept.withColumn("upto", F.sum("n").over(upto))
+    upto = W.partitionBy(*cols(by), "slot").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = _feature_and_segment(kept.withColumn("upto", F.sum("n").over(upto)), columns, segments)
     end = F.col("before") + F.col("upto")
     below, above = F.col("below"), F.col("above")
     return (
-        targets.join(ranked, part)
+        targets.join(ranked, [*at, "segment"])
         .where((F.col("rank") >= end - F.col("n")) & (F.col("rank") < end))
         .groupBy(*cols(at), "t")
         .agg(
