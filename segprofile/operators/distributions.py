@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from segprofile.functions.columns import col, cols, double
 from segprofile.functions.staging import stage
-from segprofile.operators.quantiles import extents, grouped_quantiles
+from segprofile.operators.quantiles import SIDE_BY_SIDE, extents, grouped_quantiles
 
 # a Gaussian kernel is below 2e-22 of its peak this many bandwidths away
 _REACH = 10
@@ -57,6 +58,14 @@ def _layout_rows(layout: DataFrame, columns: Sequence[str]) -> dict[int, Row]:
     return {i: found[c] for i, c in enumerate(columns) if c in found}
 
 
+def _side_by_side(df: DataFrame, structs: list) -> DataFrame:
+    """One row per struct and row, each column read once, a few columns at a time."""
+    some = [structs[i : i + SIDE_BY_SIDE] for i in range(0, len(structs), SIDE_BY_SIDE)]
+    return reduce(
+        lambda a, b: a.unionByName(b), [df.select(F.inline(F.array(*few))) for few in some]
+    )
+
+
 def _position(columns: Sequence[str]):
     return (F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("feature")) - 1).cast("int")
 
@@ -83,7 +92,7 @@ def histogram(df: DataFrame, columns: Sequence[str], layout: DataFrame) -> DataF
     )
     if bins:
         counts = (
-            df.select(F.inline(F.array(*bins)))
+            _side_by_side(df, bins)
             .where("bin IS NOT NULL")
             .groupBy("position", "bin")
             .agg(F.count("*").alias("n"))
@@ -134,7 +143,7 @@ def kde_curve(
     for _ in range(_ORDER):
         powers.append(powers[-1] * F.col("u"))
     moments = (
-        df.select(F.inline(F.array(*cells)))
+        _side_by_side(df, cells)
         .where("cell IS NOT NULL")
         .groupBy("position", "cell")
         .agg(*[F.sum(p).alias(f"s{m}") for m, p in enumerate(powers)])

@@ -11,6 +11,7 @@ uneven the groups are.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,6 +23,8 @@ from segprofile.functions.staging import stage
 _CELLS = 4096
 # a pass that does not narrow further (infinite values) must end as well
 _MAX_PASSES = 12
+# features read side by side; more in one expression grow past what the JVM compiles
+SIDE_BY_SIDE = 4
 
 
 def extents(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -69,96 +72,123 @@ def _targets(extent: DataFrame, at: Sequence[str], probs: Sequence[float]) -> Da
 def _located(
     df: DataFrame, by: Sequence[str], columns: Sequence[str], targets: DataFrame, segments: int
 ) -> DataFrame:
-    """``(by..., slot, cell, value)``: the values inside any interval, and their cell of it.
+    """``(by..., feature, segment, lo, hi, value)``: the values inside any open interval.
+
+    Each feature is read once, a few features at a time.
+    """
+    some = [columns[i : i + SIDE_BY_SIDE] for i in range(0, len(columns), SIDE_BY_SIDE)]
+    return reduce(
+        lambda a, b: a.unionByName(b), [_located_few(df, by, few, targets, segments) for few in some]
+    )
+
+
+def _located_few(df, by, columns: Sequence[str], targets: DataFrame, segments: int) -> DataFrame:
+    """Rows meet the intervals of these features at once, by group; only kept values multiply.
 
     Intervals of one group are equal or apart, and numbered as segments; a slot
-    is a feature and a segment. Rows meet the intervals of all features at once,
-    by group, so nothing is multiplied but the values that are kept.
+    is a feature and a segment.
     """
-    slots = [(i, s, i * segments + s) for i in range(len(columns)) for s in range(segments)]
+    slots = [range(i * segments, (i + 1) * segments) for i in range(len(columns))]
     names = F.array(*[F.lit(c) for c in columns])
     intervals = (
-        targets.withColumn("slot", (F.array_position(names, F.col("feature")) - 1) * segments + F.col("segment"))
+        # an interval of one value is found already
+        targets.where("lo < hi")
+        .withColumn("slot", (F.array_position(names, F.col("feature")) - 1) * segments + F.col("segment"))
         .groupBy(*cols(by))
-        .agg(*[F.expr(f"max({e}) FILTER (WHERE slot = {j}) AS {e}{j}") for *_, j in slots for e in ("lo", "hi")])
+        .agg(
+            *[
+                F.expr(f"max({e}) FILTER (WHERE slot = {j}) AS {e}{j}")
+                for own in slots
+                for j in own
+                for e in ("lo", "hi")
+            ]
+        )
     )
     rows = df.select(*cols(by), *[double(c).alias(f"x{i}") for i, c in enumerate(columns)])
     if by:
+        # groups without an open interval drop out;
         # the targets are a written table, so their known size decides how they are joined
         rows = rows.join(intervals, list(by))
     else:
         # one row, two numbers per slot
         rows = rows.withColumns({c: F.lit(v).cast("double") for c, v in intervals.first().asDict().items()})
 
-    def place(i: int) -> str:
-        cases = [
-            f"WHEN x{i} BETWEEN lo{j} AND hi{j} THEN named_struct('slot', {j}, 'cell', "
-            f"CASE WHEN hi{j} > lo{j} THEN CAST(least(floor((x{i} - lo{j}) / (hi{j} - lo{j}) * {_CELLS}), "
-            f"{_CELLS - 1}) AS INT) ELSE 0 END, 'value', x{i})"
-            for k, _, j in slots
-            if k == i
-        ]
-        return f"CASE {' '.join(cases)} END"
-
-    places = ", ".join(place(i) for i in range(len(columns)))
-    return rows.select(*cols(by), F.expr(f"inline(array({places}))")).where("slot IS NOT NULL")
+    def slot(i: int):
+        inside = " ".join(f"WHEN x{i} BETWEEN lo{j} AND hi{j} THEN {j}" for j in slots[i])
+        return F.expr(f"CASE {inside} END AS slot{i}")
 
+    def end(e: str, i: int) -> str:
+        return f"CASE slot{i} " + " ".join(f"WHEN {j} THEN {e}{j}" for j in slots[i]) + " END"
 
-def _feature_and_segment(df: DataFrame, columns: Sequence[str], segments: int) -> DataFrame:
-    names = F.array(*[F.lit(c) for c in columns])
-    return df.withColumns(
-        {
-            "feature": F.get(names, (F.col("slot") / segments).cast("int")),
-            "segment": F.col("slot") % segments,
-        }
-    ).drop("slot")
+    kept = ", ".join(
+        f"CASE WHEN slot{i} IS NOT NULL THEN named_struct('slot', slot{i}, 'lo', {end('lo', i)}, "
+        f"'hi', {end('hi', i)}, 'value', x{i}) END"
+        for i in range(len(columns))
+    )
+    marked = rows.select("*", *[slot(i) for i in range(len(columns))])
+    found = marked.select(*cols(by), F.expr(f"inline(array({kept}))")).where("slot IS NOT NULL")
+    return found.select(
+        *cols(by),
+        F.get(names, F.expr(f"CAST(slot DIV {segments} AS INT)")).alias("feature"),
+        F.expr(f"slot % {segments} AS segment"),
+        "lo",
+        "hi",
+        "value",
+    )
 
 
 def _narrowed(df, by, columns, targets: DataFrame, segments: int) -> DataFrame:
     """Each target with the cell of its interval that holds its rank."""
     at = [*by, "feature"]
     part = [*at, "segment"]
+    place = f"least(floor((value - lo) / (hi - lo) * {_CELLS}), {_CELLS - 1})"
+    cell = F.expr(f"CASE WHEN hi > lo THEN {place} ELSE 0 END AS cell")
     cells = (
         _located(df, by, columns, targets, segments)
-        .groupBy(*cols(by), "slot", "cell")
+        .groupBy(*cols(part), cell)
         .agg(F.count("*").alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
     )
-    earlier = W.partitionBy(*cols(by), "slot").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*cols(part)).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     start = F.col("before") + F.col("earlier")
-    return (
-        targets.join(_feature_and_segment(cells, columns, segments), part)
+    names = [*at, "lo", "hi", "before", "total", "t", "rank", "weight"]
+    narrower = (
+        targets.where("lo < hi")
+        .drop("lo", "hi", "total")
+        .join(cells, part)
         .where((F.col("rank") >= start) & (F.col("rank") < start + F.col("n")))
-        .select(
-            *cols(at),
-            F.col("first").alias("lo"),
-            F.col("last").alias("hi"),
-            start.alias("before"),
-            F.col("n").alias("total"),
-            "t",
-            "rank",
-            "weight",
-        )
-        .withColumn("segment", F.dense_rank().over(W.partitionBy(*cols(at)).orderBy("before")) - 1)
+        .withColumnsRenamed({"first": "lo", "last": "hi", "n": "total"})
+        .withColumn("before", start)
     )
+    both = narrower.select(*cols(names)).unionByName(targets.where("lo >= hi").select(*cols(names)))
+    open_ones = W.partitionBy(*cols(at), F.col("lo") < F.col("hi")).orderBy("before")
+    return both.withColumn("segment", F.dense_rank().over(open_ones) - 1)
 
 
 def _ordered(df, by, columns, targets: DataFrame, segments: int) -> DataFrame:
     """``(by..., feature, t, quantile)`` by ordering what is left in the intervals."""
     at = [*by, "feature"]
-    kept = (
-        _located(df, by, columns, targets, segments)
-        .groupBy(*cols(by), "slot", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    upto = W.partitionBy(*cols(by), "slot").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = _feature_and_segment(kept.withColumn("upto", F.sum("n").over(upto)), columns, segments)
-    end = F.col("before") + F.col("upto")
+    part = [*at, "segment"]
+    names = [*at, "t", "rank", "weight", "value"]
+    values = targets.where("lo >= hi").withColumn("value", F.col("lo")).select(*cols(names))
+    if columns:
+        kept = (
+            _located(df, by, columns, targets, segments)
+            .groupBy(*cols(part), "value")
+            .agg(F.count("*").alias("n"))
+        )
+        upto = W.partitionBy(*cols(part)).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+        ranked = kept.withColumn("upto", F.sum("n").over(upto))
+        end = F.col("before") + F.col("upto")
+        ordered = (
+            targets.where("lo < hi")
+            .join(ranked, part)
+            .where((F.col("rank") >= end - F.col("n")) & (F.col("rank") < end))
+        )
+        values = values.unionByName(ordered.select(*cols(names)))
     below, above = F.col("below"), F.col("above")
     return (
-        targets.join(ranked, [*at, "segment"])
-        .where((F.col("rank") >= end - F.col("n")) & (F.col("rank") < end))
-        .groupBy(*cols(at), "t")
+        values.groupBy(*cols(at), "t")
         .agg(
             F.min("value").alias("below"),
             F.max("value").alias("above"),
@@ -190,15 +220,14 @@ def grouped_quantiles(
     at = [*by, "feature"]
     extent = stage(extents(df, by, columns))
     targets = _targets(extent, at, probs)
-    state = [F.max(F.when(F.col("lo") < F.col("hi"), F.col("total"))), F.max("segment")]
-    for _ in range(_MAX_PASSES):
-        unordered, last_segment = targets.agg(*state).first()
-        segments = (last_segment or 0) + 1
-        if unordered is None or unordered <= order_at_once:
+    for passes in range(_MAX_PASSES + 1):
+        state = targets.where("lo < hi").groupBy("feature").agg(F.max("total"), F.max("segment")).collect()
+        unsettled = {r["feature"] for r in state}
+        columns = [c for c in columns if c in unsettled]
+        segments = max((r[2] + 1 for r in state), default=1)
+        if passes == _MAX_PASSES or max((r[1] for r in state), default=0) <= order_at_once:
             break
         targets = stage(_narrowed(df, by, columns, targets, segments))
-    else:
-        segments = targets.agg(state[1]).first()[0] + 1
     found = _ordered(df, by, columns, targets, segments)
     wide = found.groupBy(*cols(at)).agg(
         *[F.max(F.when(F.col("t") == t, F.col("quantile"))).alias(f"q{t}") for t in range(len(probs))]
