@@ -7,36 +7,25 @@ read, and the planner sees the table's real size when it picks a join.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_WAREHOUSE = "spark.sql.warehouse.dir"
 _written: list[str] = []
 
 
-def staging_root(spark: SparkSession) -> str | None:
-    """The shared folder the session names; a temporary one in local mode only."""
+def staging_root(spark: SparkSession) -> str:
+    """The shared folder the session names, else a folder of the warehouse, which is shared too."""
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
-    if named:
-        return named
-    named = spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="segprofile-"))
-        return spark.sparkContext.getCheckpointDir()
-    return None
+    return named or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get(_WAREHOUSE).rstrip('/')}/_staged"
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of what was written."""
     spark = df.sparkSession
-    root = staging_root(spark)
-    if root is None:
-        raise RuntimeError(f"set {_SETTING} to a folder all executors share")
-    path = f"{root.rstrip('/')}/segprofile-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark).rstrip('/')}/segprofile-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
