@@ -37,7 +37,7 @@ def words_of(text: bytes) -> list[bytes]:
 def words_column(text: Column) -> Column:
     """The same words as a Spark array; null text has none."""
     lowered = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.regexp_extract_all(lowered, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    return F.array_remove(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:
