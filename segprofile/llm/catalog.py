@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from segprofile.llm import decontamination, mixing, sharding
+from segprofile.llm import decontamination, language, mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op3_benchmark_decontamination": decontamination.query,
+    "op5_language": language.query,
+    "op6_quality": quality.query,
     "op7_sharding": sharding.query,
     "op10_mixing": mixing.query,
 }
