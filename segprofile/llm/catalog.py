@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from segprofile.llm import decontamination, language, mixing, quality, sharding, toxicity
+from segprofile.llm import decontamination, hidden_markov, language, mixing, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_token_output": tokens.query,
     "op3_benchmark_decontamination": decontamination.query,
+    "op4_hidden_markov": hidden_markov.query,
     "op5_language": language.query,
     "op6_quality": quality.query,
     "op7_sharding": sharding.query,
