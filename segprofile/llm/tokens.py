@@ -43,11 +43,11 @@ _BLOCK = 512
 
 # -- encoding ---------------------------------------------------------------------------------
 
-#: Lower-cased pieces of a chunk of text without white space, as the tokenizer's own pattern cuts
-#: them, for characters up to U+024F; all other chunks go through the library's whole path.
-_PLAIN = re.compile("[!-~¡-įı-ɏ]*")
+#: Characters up to U+024F but for control characters and one letter whose lower case is longer. Texts of these are cut
+#: into lower-cased pieces as the tokenizer's own pattern cuts them; all others go through the library's whole path.
+_PLAIN = re.compile("[\t-\r -~\xa0-įı-ɏ]*")
 _LETTERS = "a-zªµºß-öø-ɏ"
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼-¾]|[^{_LETTERS}0-9²³¹¼-¾]+")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼-¾]|[^\\s{_LETTERS}0-9²³¹¼-¾]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for Python only
 
 
@@ -59,42 +59,50 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Encoder:
-    """Ids of a text as bytes of 32-bit numbers; chunks between white space are encoded once and remembered."""
+class _Known(dict):
+    """Remembers a function's results for a bounded number of strings."""
+
+    def __init__(self, find, most: int):
+        self.find, self.most = find, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = found = self.find(key)
+        return found
 
-    REMEMBERED = 400_000
 
-    def __init__(self, path: str):
+class Encoder:
+    """Ids of a text as bytes of 32-bit numbers; every piece is encoded once and remembered."""
+
+    def __init__(self, path: str, remembered: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.names = _byte_names()
-
-        class Known(dict):
-            def __missing__(known, chunk: str) -> bytes:
-                if len(known) >= self.REMEMBERED:
-                    known.clear()
-                known[chunk] = ids = self._chunk(chunk)
-                return ids
-
-        self.known = Known()
+        self.pieces = _Known(self._piece, remembered)
+        self.chunks = _Known(self._chunk, remembered // 4)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join(map(self.names.__getitem__, piece.encode()))
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
+
     def _chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
-            return self._library(chunk)
-        ids = []
-        for piece in _PIECE.findall(chunk.lower()):
-            if not piece.isascii():
-                piece = "".join(map(self.names.__getitem__, piece.encode()))
-            ids += [t.id for t in self.model.tokenize(piece)]
-        return np.array(ids, "<u4").tobytes()
+        return self._plain(chunk) if _PLAIN.fullmatch(chunk) and "<|" not in chunk else self._library(chunk)
 
     def encode(self, text: str) -> bytes:
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            return self._plain(text)
         if _ODD_SPACE.search(text):
             return self._library(text)
-        return b"".join(map(self.known.__getitem__, text.split()))
+        # no piece reaches over white space
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 @cache
