@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from segprofile.llm import decontamination, hidden_markov, language, mixing, quality, sharding, tokens, toxicity
+from segprofile.llm import decontamination, hidden_markov, language, mixing, near_vectors, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language": language.query,
     "op6_quality": quality.query,
     "op7_sharding": sharding.query,
+    "op8_near_vectors": near_vectors.query,
     "op10_mixing": mixing.query,
 }
 ORACLES = {
