@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from segprofile.llm import decontamination, hidden_markov, language, mixing, near_vectors, quality, sharding, tokens, toxicity
+import corpus_pipeline
+from segprofile.llm import decontamination, hidden_markov, language, mixing, near_texts, near_vectors, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,9 +14,13 @@ QUERIES = {
     "op6_quality": quality.query,
     "op7_sharding": sharding.query,
     "op8_near_vectors": near_vectors.query,
+    "op9_near_texts": near_texts.query,
     "op10_mixing": mixing.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op3_benchmark_decontamination": decontamination.SQL,
     "op10_mixing": mixing.SQL,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
