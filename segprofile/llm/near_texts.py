@@ -11,9 +11,10 @@ their similarity. Two samples make a band; texts that agree in a band are candid
 0.8), if at least ``AGREE`` of 24 samples agree. Candidates are verified on their whole texts.
 
 Equal texts are one text. A band's texts, however many, are met in blocks of bounded size, and
-no pairs are listed within a group of copies: a block proposes a spanning forest of its candidates. First every block
-by itself; then one text of each group so far, and at last whatever candidates are still apart and not yet
-refuted, all of them.
+no pairs are listed within a group of copies. A block proposes a spanning forest of its candidates, each verified: first every
+block by itself, then one text of each group so far. What is still apart and connected by candidates is then
+compared whole, block against block, as products of matrices of shingles inside the tasks: all candidates that are left are
+among these, and only links between groups come out.
 
 Edge cases: a null text is no copy of any; texts without words are copies if they are equal; a text of one to
 four words is one shingle; a document without doc_id is not compared and has no class; rows of one doc_id are one
@@ -22,12 +23,11 @@ document; an empty table gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segprofile.functions.staging import stage
@@ -41,7 +41,8 @@ from segprofile.llm.vectors import PIECE_SCHEMA, added, piece_rows
 WIDTH, THRESHOLD = 5, 0.8
 SAMPLES, BAND, AGREE = 24, 2, 11
 COUNTERS, FLAT = 1 << 20, 0.75
-BLOCK = 1024
+BLOCK, TEXT_BLOCK = 1024, 192
+_COLUMNS = 2048
 _PIECE = 8192
 _ELEMENTS = 1 << 16  # shingles sampled at a time
 _U = np.uint64
@@ -122,18 +123,21 @@ def samples(rows: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -
     return out
 
 
+def _digest(text: Column) -> Column:
+    return F.md5(text)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, digest, samples); samples are null without words."""
+    """(doc_id, text, digest) to (doc_id, digest, samples); samples are null without words."""
     for batch in batches:
         for first, texts in pieces(batch.column(1)):
-            digests = [hashlib.blake2b(t.as_buffer(), digest_size=16).digest() if t.is_valid else None for t in texts]
             rows, values, tf = weighted(texts)
             found = samples(rows, values, tf * idf[counter_of(values).astype(np.int64)], len(texts))
             some = np.zeros(len(texts), bool)
             some[rows] = True
             signs = [x.astype("<u4").tobytes() if ok else None for x, ok in zip(found, some, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(texts)), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "digest", "samples"]
+                [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(signs, pa.binary())], ["doc_id", "digest", "samples"]
             )
 
 
@@ -178,8 +182,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHO
 # -- candidates -------------------------------------------------------------------------------
 
 
-def _propose(table: pa.Table, every: bool) -> pa.Table:
-    """Candidate pairs (a < b) of a block or pair of blocks: a spanning forest of those of different groups, or all of them."""
+def _propose(table: pa.Table) -> pa.Table:
+    """A spanning forest (a < b) of the candidates between different groups, of a block or pair of blocks."""
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     rep, group, block = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
     order = np.lexsort((rep, block))
@@ -190,23 +194,14 @@ def _propose(table: pa.Table, every: bool) -> pa.Table:
     agree = np.zeros((n, n), np.uint8)
     for j in range(SAMPLES):
         agree += signs[:, j][:, None] == signs[:, j][None, :]
-    open_ = (agree >= AGREE) & (group[:, None] != group[None, :])
     if low != high:
-        open_ &= block[:, None] != block[None, :]
-    if "refuted" in table.column_names:
-        place = {r: i for i, r in enumerate(rep.tolist())}
-        for i, others in zip(np.argsort(order), table.column("refuted").to_pylist(), strict=True):
-            for o in others or ():
-                if o in place:
-                    open_[i, place[o]] = open_[place[o], i] = False
-    if every:
-        a, b = np.nonzero(np.triu(open_))
-        return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
+        agree[block[:, None] == block[None, :]] = 0
+    agree[agree < AGREE] = 0
     found_a, found_b = [], []
     label = np.unique(group, return_inverse=True)[1]
     while True:
         # every group takes its best candidate outside itself; groups that take each other merge
-        reach = np.where(open_ & (label[:, None] != label[None, :]), agree, 0)
+        reach = np.where(label[:, None] != label[None, :], agree, 0)
         best = reach.argmax(axis=1)
         value = reach[np.arange(n), best]
         if not value.any():
@@ -223,61 +218,116 @@ def _propose(table: pa.Table, every: bool) -> pa.Table:
     return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
 
 
-def _proposals(members: DataFrame, signs: DataFrame, refuted: DataFrame | None, block: int, across: bool, every: bool) -> DataFrame:
+def _proposals(members: DataFrame, signs: DataFrame, block: int, across: bool) -> DataFrame:
     """Distinct candidate pairs from members (band, rep, component): within blocks, or ``across`` them too."""
     dealt = block_pairs(members, "band", "rep", block)
     if not across:
         dealt = dealt.filter(F.col("low") == F.col("high"))
-    full = dealt.join(signs, "rep")
-    if refuted is not None:
-        both = refuted.select("a", "b").union(refuted.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        full = full.join(both.groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("refuted")), "rep", "left")
-    found = full.groupBy("band", "low", "high").applyInArrow(lambda t: _propose(t, every), "a long, b long")
-    return found.distinct()
+    return dealt.join(signs, "rep").groupBy("band", "low", "high").applyInArrow(_propose, "a long, b long").distinct()
+
 
+def all_similarities(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of every text with every other.
 
-def near_text_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    A shingle that occurs tf times is tf features of weight idf, so a sum of minima is a product of 0/1 matrices.
+    Features of one text alone add to its total only.
+    """
+    n = len(texts)
+    parts = [(first, *weighted(part)) for first, part in pieces(texts)]
+    rows = np.concatenate([first + r for first, r, _, _ in parts])
+    values, tf = np.concatenate([v for _, _, v, _ in parts]), np.concatenate([t for _, _, _, t in parts])
+    weights = idf[counter_of(values).astype(np.int64)].astype(np.float64)
+    totals = np.bincount(rows, tf * weights, n)
+    times = tf.astype(np.int64)
+    rows, weights = np.repeat(rows, times), np.repeat(weights, times)
+    nth = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+    keys = mix(np.repeat(values, times) + mix(nth.astype(_U)))
+    order = np.argsort(keys, kind="stable")
+    keys, rows, weights = keys[order], rows[order], weights[order]
+    new = np.append(True, np.diff(keys) != 0) if len(keys) else np.zeros(0, bool)
+    feature = np.cumsum(new) - 1
+    several = np.bincount(feature)[feature] > 1 if len(feature) else new
+    rows, weights = rows[several], weights[several]
+    feature = np.unique(feature[several], return_inverse=True)[1]
+    shared = np.zeros((n, n))
+    for first in range(0, int(feature.max(initial=-1)) + 1, _COLUMNS):
+        a, b = np.searchsorted(feature, [first, first + _COLUMNS])
+        held = np.zeros((n, _COLUMNS))
+        scaled = np.zeros((n, _COLUMNS))
+        held[rows[a:b], feature[a:b] - first] = 1
+        scaled[rows[a:b], feature[a:b] - first] = weights[a:b]
+        shared += scaled @ held.T
+    return shared / np.maximum(totals[:, None] + totals[None, :] - shared, 1e-300)
+
+
+def _link(table: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
+    """(a, b) that unite the groups linked within a block or pair of blocks."""
+    rep, group = table.column("rep").to_numpy(), table.column("component").to_numpy()
+    order = np.argsort(rep)
+    texts = table.column("text").combine_chunks().take(pa.array(order))
+    rep, group = rep[order], group[order]
+    linked = (all_similarities(texts, idf) >= threshold) & (group[:, None] != group[None, :])
+    some = np.flatnonzero(linked.any(axis=1))
+    root = some[joined(linked[np.ix_(some, some)])] if len(some) else some
+    moved = some != root
+    return pa.table({"a": rep[some[moved]], "b": rep[root[moved]]})
+
+
+def near_text_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group), kept of every document."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(texts))
-    signed = stage(texts.mapInArrow(lambda it: _signed(it, idf.value), "doc_id long, digest binary, samples binary"))
+    signed = stage(texts.withColumn("digest", _digest(F.col("text"))).mapInArrow(lambda it: _signed(it, idf.value), "doc_id long, digest string, samples binary"))
     known = signed.filter(F.col("doc_id").isNotNull())
     reps = stage(known.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("samples").alias("samples")))
-    with_words = reps.filter(F.col("samples").isNotNull())
+    # a doc_id that stands for several texts is compared by each of them under a name of its own
+    with_words = reps.filter(F.col("samples").isNotNull()).select(F.xxhash64("digest", "rep").alias("rep"), F.col("rep").alias("doc_id"), "samples", "digest")
     width = 4 * BAND
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("samples", i * width + 1, width)) for i in range(SAMPLES // BAND)])
     banded = with_words.select("rep", F.explode(bands).alias("band"))
     several = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     members = stage(banded.join(several, "band").distinct())
-    # a doc_id may stand for several texts: all of them are its own group from the start
-    signs = stage(with_words.join(members.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min("samples").alias("samples")))
+    signs = stage(with_words.join(members.select("rep").distinct(), "rep", "left_semi"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """rep and text of the texts named: documents are read once more, and only these go on."""
+        named = small(stage(signs.join(wanted, "rep", "left_semi").select("rep", "doc_id")), 1_000_000)
+        found = texts.join(named, "doc_id")
+        return stage(found.filter(F.xxhash64(_digest(F.col("text")), "doc_id") == F.col("rep")).select("rep", "text").dropDuplicates(["rep"]))
 
     def judged(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs)
         ids = stage(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
-        own = known.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id").distinct()
-        wanted = small(own, 2_000_000)
-        whole = texts.join(wanted, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
-        return verified(pairs, stage(whole), idf, threshold)
-
-    # 1: every block by itself
-    alone = members.withColumn("component", F.col("rep"))
-    results = judged(_proposals(alone, signs, None, block, across=False, every=False))
-    # 2: one text of each group so far; 3: all candidates still apart
-    for last in (False, True):
-        united = components(results.filter("linked"))
-        labelled = members.join(united, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-        apart = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-        labelled = labelled.join(apart, "band")
-        if not last:
-            labelled = labelled.groupBy("band", "component").agg(F.min("rep").alias("rep")).select("band", "rep", "component")
-        more = judged(_proposals(stage(labelled), signs, results.filter(~F.col("linked")), block, across=last, every=last))
-        results = stage(results.union(more))
-    links = results.filter("linked").select("a", "b")
-    # equal texts, and texts of one doc_id
+        return verified(pairs, texts_of(ids), idf, threshold).filter("linked").select("a", "b")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        """Members of the bands in which several groups are left."""
+        found = members.join(components(links), F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+        apart = found.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
+        return stage(found.join(apart, "band"))
+
+    links = judged(_proposals(members.withColumn("component", F.col("rep")), signs, block, across=False))
+    ones = labelled(links).groupBy("band", "component").agg(F.min("rep").alias("rep")).select("band", "rep", "component")
+    links = stage(links.union(judged(_proposals(ones, signs, block, across=False))))
+    # what candidates connect and links do not
+    rest = labelled(links)
+    open_ = stage(_proposals(rest, signs, block, across=True))
+    cluster = components(open_.union(links)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    rest = rest.select("rep", "component").distinct().join(cluster, "rep")
+    apart = rest.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("cluster")
+    rest = stage(rest.join(apart, "cluster"))
+    dealt = block_pairs(rest, "cluster", "rep", text_block).join(texts_of(rest.select("rep").distinct()), "rep")
+    more = dealt.groupBy("cluster", "low", "high").applyInArrow(lambda t: _link(t, idf.value, threshold), "a long, b long")
+    links = stage(links.union(more))
+    # from names of texts to documents; equal texts, and texts of one doc_id
+    name = signs.select(F.col("rep").alias("_name"), "doc_id")
+    linked = (
+        links.join(name, F.col("a") == F.col("_name")).select("b", F.col("doc_id").alias("x"))
+        .join(name, F.col("b") == F.col("_name")).select(F.col("x").alias("a"), F.col("doc_id").alias("b"))
+    )
     same = known.join(reps.select("digest", "rep"), "digest").filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    united = components(links.union(same))
+    united = components(linked.union(same))
     classes = signed.select("doc_id").join(united, F.col("doc_id") == F.col("node"), "left")
     class_id = F.coalesce("component", "doc_id")
     return classes.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))

@@ -26,7 +26,7 @@ _LOWERED += 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SLICE = 1 << 22  # bytes hashed at a time
+_SLICE = 1 << 20  # bytes hashed at a time
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -71,7 +71,7 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(texts: pa.Array, most: int = 1 << 22):
+def pieces(texts: pa.Array, most: int = 1 << 20):
     """Slices of an array with about ``most`` bytes each, one row at least; every row in one slice."""
     sizes = np.diff(buffer_of(texts)[1])
     start, total = 0, 0
