@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segprofile.functions.staging import stage
-from segprofile.llm.tables import read
+from segprofile.llm.tables import read, small
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 SEED = "mix-1"
+MANY_SOURCES = 200_000  # more than these are not broadcast
 
 
 def size_of(text: Column) -> Column:
@@ -84,7 +85,7 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (size times copies) of each document."""
     sized = measured(docs)
     per_source = targets(sized).withColumnRenamed("source", "of_source")
-    return sized.join(per_source, F.col("source").eqNullSafe(F.col("of_source"))).select(
+    return sized.join(small(per_source, MANY_SOURCES), F.col("source").eqNullSafe(F.col("of_source"))).select(
         "doc_id",
         "size",
         "source_size",
@@ -100,7 +101,7 @@ def mix(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     n = copies(F.col("rate"), draw(F.col("doc.doc_id"), F.col("doc.text")))
     return (
-        packed.join(rates, F.col("doc.source").eqNullSafe(F.col("of_source")))
+        packed.join(small(rates, MANY_SOURCES), F.col("doc.source").eqNullSafe(F.col("of_source")))
         .select("doc", F.explode(F.array_repeat(F.lit(1), n.cast("int"))))
         .select("doc.*")
     )
