@@ -31,7 +31,7 @@ from segprofile.functions.staging import stage
 from segprofile.llm.tables import read, small
 from segprofile.llm.text import remainder, words_of
 
-VOCABULARY, SAMPLE = 4000, 30_000
+VOCABULARY, SAMPLE = 4000, 20_000
 LEAST_TEXTS, LEAST_RATIO = 3, 15.0
 COUNTERFACTUAL, RIDGE, SWAPS = 4.0, 2e-5, 2
 THRESHOLD = 0.7
@@ -127,18 +127,21 @@ def _design(batches: Iterator[pa.RecordBatch], places: dict[bytes, int], groups:
         )
 
 
-def _ragged(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return rows, np.array([y for x in lists for y in x], np.int64)
+def _ragged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every element."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def fit_weights(labels: np.ndarray, at: list, pairs: list, size: int, counterfactual: float, ridge: float = RIDGE, steps: int = 500) -> tuple[np.ndarray, float]:
+def fit_weights(labels: np.ndarray, at: pa.ListArray, pairs: pa.ListArray, size: int, counterfactual: float, ridge: float = RIDGE, steps: int = 500) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient steps on logistic loss, ridge and counterfactual penalty.
 
-    Rows of the two labels count for as much in all, so few toxic texts are not outvoted. Each weight has a step of its own, the inverse of a bound of its curvature.
+    Rows of the two labels count for as much in all, so few toxic texts are not outvoted. Each weight
+    has a step of its own, the inverse of a bound of its curvature.
     """
     n, n_pairs, width = len(labels), max(len(pairs), 1), size + 1
-    rows, cols = _ragged([[*x, size] for x in at])  # the last place is the intercept
+    rows, cols = _ragged(at)
+    rows, cols = np.append(rows, np.arange(n)), np.append(cols, np.full(n, size))  # the last place is the intercept
     p_rows, p_signed = _ragged(pairs)
     p_cols, p_sign = np.abs(p_signed) - 1, np.sign(p_signed).astype(float)
     ones = min(max(labels.mean(), 1e-6), 1 - 1e-6)
@@ -193,8 +196,9 @@ class ToxicityModel:
         labels = design.column("toxic").to_numpy().astype(float)
         if not len(labels):
             return ToxicityModel({}, float(np.log(ones / (n - ones))))
-        pairs = [p for row in design.column("pairs").to_pylist() for p in row]
-        w, b = fit_weights(labels, design.column("at").to_pylist(), pairs, len(places), counterfactual)
+        at, pairs = design.column("at").combine_chunks(), design.column("pairs").combine_chunks().flatten()
+        del design
+        w, b = fit_weights(labels, at, pairs, len(places), counterfactual)
         return ToxicityModel({f: float(w[i]) for f, i in places.items() if w[i]}, b)
 
     def column(self, spark: SparkSession, text: Column) -> Column:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def test_fitted_weights_satisfy_the_gradient():
     at = [sorted(set(rng.integers(0, 12, 4).tolist())) for _ in range(300)]
     y = np.array([float(0 in x or rng.random() < 0.2) for x in at])
     pairs = [[-1, 3], [-2, 4]]
-    w, b = toxicity.fit_weights(y, at, pairs, 12, 1.0, ridge=1e-2, steps=3000)
+    w, b = toxicity.fit_weights(y, pa.array(at), pa.array(pairs), 12, 1.0, ridge=1e-2, steps=3000)
     x = np.array([[i in row for i in range(12)] for row in at], float)
     off = (1 / (1 + np.exp(-(x @ w + b))) - y) * np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     d = np.array([w[2] - w[0], w[3] - w[1]])
