@@ -95,6 +95,8 @@ SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority FROM
 WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"""
 ORACLES["filter_membership_null"] = f"""
 WITH {_GAPS} SELECT * FROM gaps WHERE o_orderpriority = '1-URGENT' OR o_orderpriority IS NULL"""
+ORACLES["filter_membership_nan"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice < 50000"""
 ORACLES["filter_exact_scaled"] = f"""
 SELECT {_LINE_ROW} FROM lineitem WHERE l_discount = CAST('5' AS DOUBLE) / 100"""
 ORACLES["filter_percent_range"] = f"""
@@ -295,6 +297,12 @@ FROM cells g LEFT JOIN counts c USING (feature, bin)"""
 
 ORACLES["histogram_fixed"] = _histogram("lineitem", ("l_quantity", "l_extendedprice"), "17")
 ORACLES["histogram_auto"] = _histogram("lineitem", _LINE_NUM, _AUTO)
+_AUTO_WHOLE = """ceil((hi - lo) / greatest(1.0, least(greatest(2 * iqr / cbrt(n), (hi - lo) / sqrt(n) / 2),
+                                              (hi - lo) / (log2(n) + 1))))"""
+ORACLES["histogram_integer"] = (
+    f"SELECT * FROM ({_histogram('lineitem', ('l_linenumber',), _AUTO_WHOLE)}) "
+    f"UNION ALL SELECT * FROM ({_histogram('part', ('p_size',), _AUTO_WHOLE)})"
+)
 ORACLES["histogram_events"] = _histogram("events", ("value",), _AUTO)
 
 

@@ -112,6 +112,16 @@ def filter_membership_null(spark, d):
     return filters.select_rows(nullable_orders(spark, d), ORDERS, chosen)
 
 
+@query
+def filter_membership_nan(spark, d):
+    """Small prices read as NaN, which is missing."""
+    gaps = table(spark, d, "orders").withColumn(
+        "o_totalprice", F.when(F.col("o_totalprice") < 50000, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    )
+    chosen = FilterSpec([OneOf("o_totalprice", [None])], full_range=False)
+    return filters.select_rows(gaps, ORDERS, chosen).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
 @query
 def filter_exact_scaled(spark, d):
     chosen = FilterSpec([Exact("l_discount", "5")], full_range=False)
@@ -390,6 +400,16 @@ def histogram_auto(spark, d):
     return rounded(distributions.histogram(lines, LINES.numeric, layout))
 
 
+@query
+def histogram_integer(spark, d):
+    """Integers: no bin is narrower than 1."""
+    lines = table(spark, d, "lineitem")
+    layout = distributions.auto_bins(lines, ["l_linenumber"])
+    part = table(spark, d, "part")
+    sizes = distributions.histogram(part, ["p_size"], distributions.auto_bins(part, ["p_size"]))
+    return rounded(distributions.histogram(lines, ["l_linenumber"], layout).unionByName(sizes))
+
+
 @query
 def histogram_events(spark, d):
     """A skewed column."""

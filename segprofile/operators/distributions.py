@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segprofile.functions.columns import col, cols, double
 from segprofile.functions.staging import stage
@@ -42,12 +43,16 @@ def auto_bins(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Bin count from sample size, range and quartile distance.
 
     Width is the smaller of two rules: range / (log2 n + 1), and the quartile
-    rule 2 IQR / cbrt(n), the latter never below half of range / sqrt(n).
+    rule 2 IQR / cbrt(n), the latter never below half of range / sqrt(n). Integers
+    get no bins narrower than 1.
     """
     quartiles = grouped_quantiles(df, [], columns, [0.25, 0.75])
     n, spread = F.col("n").cast("double"), F.col("max") - F.col("min")
     by_quartiles = F.greatest(2.0 * (F.col("q1") - F.col("q0")) / F.cbrt(n), spread / F.sqrt(n) / 2.0)
     width = F.least(by_quartiles, spread / (F.log2(n) + 1.0))
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)]
+    if whole:
+        width = F.when(F.col("feature").isin(whole), F.greatest(width, F.lit(1.0))).otherwise(width)
     laid_out = _with_bins(quartiles, F.ceil(F.try_divide(spread, width)))
     return stage(laid_out.select("feature", "n", "min", "max", "sd", "origin", "width", "bins"))
 

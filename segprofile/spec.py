@@ -106,7 +106,7 @@ class Range:
 
 @dataclass(frozen=True)
 class OneOf:
-    """Membership. None in the list keeps missing values; an empty list keeps nothing."""
+    """Membership, numbers in display units. None in the list keeps missing values (NaN too); an empty list keeps nothing."""
 
     column: str
     values: tuple
@@ -116,12 +116,12 @@ class OneOf:
         object.__setattr__(self, "values", tuple(values))
 
     def predicate(self, data_type: T.DataType, multiplier: float) -> Column:
-        present = [v for v in self.values if v is not None]
+        present = [v if multiplier == 1 else _stored(v, multiplier) for v in self.values if v is not None]
         parts = []
         if present:
             parts.append(col(self.column).isin(present))
         if len(present) < len(self.values):
-            parts.append(col(self.column).isNull())
+            parts.append(is_missing(self.column, data_type))
         return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
 
