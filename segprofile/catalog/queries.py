@@ -364,8 +364,7 @@ def crosstab_pct(spark, d):
     """Brand by type with a cell for every brand, and type by itself."""
     parts = table(spark, d, "part")
     columns = ["p_type", "p_brand", "p_name"]
-    labels = crosstab.crosstab_labels(parts, columns)
-    return rounded(crosstab.crosstab_pct(parts, "p_type", columns, labels))
+    return rounded(crosstab.crosstab_pct(parts, "p_type", columns, dense=True))
 
 
 @query

@@ -153,10 +153,11 @@ def cluster_rows(
         fit_one = inheritable_thread_target(df.sparkSession)(fit)
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             models = list(pool.map(fit_one, range(restarts)))
+        best = min(models, key=lambda m: m.summary.trainingCost)
+        # counted when asked for, so while the vectors are still cached
+        sizes = best.summary.clusterSizes
     finally:
         vectors.unpersist()
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    sizes = best.summary.clusterSizes
     centers = [tuple(c) for c in best.clusterCenters()]
     order = sorted(range(len(centers)), key=lambda i: (-sizes[i], centers[i]))
     number = F.array(*[F.lit(order.index(i)) for i in range(len(centers))])

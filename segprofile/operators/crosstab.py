@@ -67,16 +67,21 @@ def crosstab_pct(
     by: str,
     columns: Sequence[str],
     labels: dict[str, list[str]] | None = None,
+    dense: bool = False,
 ) -> DataFrame:
     """Long percentages: within a category the values of one feature add up to 100.
 
-    With ``labels`` every listed value gets a cell, 0 where nothing was counted;
-    without, only observed cells are given, which is the form for features with
+    With ``labels`` every listed value gets a cell, 0 where nothing was counted; with
+    ``dense`` every value of the feature, however many, found by a distinct of the table;
+    else only observed cells are given, which is the form for features with
     very many values. The category column crossed with itself is flagged.
     """
     counts = category_value_counts(df, by, columns)
     totals = counts.groupBy("category", "feature").agg(F.sum("n").alias("total"))
-    if labels is None:
+    if dense and labels is None:
+        values = categorical_domains(df, columns).where(F.col("value").isNotNull()).select("feature", "value")
+        cells = totals.join(values, "feature").join(counts, ["category", "feature", "value"], "left")
+    elif labels is None:
         cells = counts.join(totals, ["category", "feature"])
     else:
         listed = F.create_map(

@@ -21,15 +21,28 @@ from segprofile.functions.columns import cols, double
 from segprofile.functions.staging import stage
 
 _CELLS = 4096
-# a pass that does not narrow further (infinite values) must end as well
-_MAX_PASSES = 12
 # features read side by side; more in one expression grow past what the JVM compiles
 SIDE_BY_SIDE = 4
 
 
 def extents(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``(by..., feature, n, min, max, sd)`` from one pass; features without values left out."""
-    figures = {"n": F.count, "min": F.min, "max": F.max, "sd": F.stddev_samp}
+    """``(by..., feature, n, min, max, sd, low, high, least, most)`` from one pass; features without values left out."""
+    infinity = F.lit(float("inf"))
+
+    def finite(x):
+        return F.when(F.abs(x) < infinity, x)
+
+    figures = {
+        "n": F.count,
+        "min": F.min,
+        "max": F.max,
+        "sd": F.stddev_samp,
+        # infinite values at either end, and the extent of the others
+        "low": lambda x: F.count_if(x == -infinity),
+        "high": lambda x: F.count_if(x == infinity),
+        "least": lambda x: F.min(finite(x)),
+        "most": lambda x: F.max(finite(x)),
+    }
     wide = df.groupBy(*cols(by)).agg(
         *[f(double(c)).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in figures.items()]
     )
@@ -51,22 +64,33 @@ def extents(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFra
 def _targets(extent: DataFrame, at: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """The ranks on either side of each quantile, each with the interval known to hold it.
 
-    ``before`` values lie below the interval and ``total`` in it.
+    ``before`` values lie below the interval and ``total`` in it. Ranks among the infinite
+    values are known at once, so every open interval is finite.
     """
     sides = []
     for t, q in enumerate(probs):
         lower, above = f"floor({float(q)!r}D * (n - 1))", f"({float(q)!r}D * (n - 1)) % 1"
         sides.append(f"named_struct('t', {t}, 'rank', {lower}, 'weight', 1 - {above})")
         sides.append(f"named_struct('t', {t}, 'rank', {lower} + 1, 'weight', {above})")
-    return extent.select(
+    ranks = extent.select("*", F.expr(f"inline(array({', '.join(sides)}))")).where("weight > 0")
+
+    def end(name: str):
+        infinity = "CAST('Infinity' AS DOUBLE)"
+        return F.expr(
+            f"CASE WHEN rank < low THEN -{infinity} WHEN rank >= n - high THEN {infinity} ELSE {name} END"
+        )
+
+    return ranks.select(
         *cols(at),
-        F.col("min").alias("lo"),
-        F.col("max").alias("hi"),
-        F.expr("CAST(0 AS BIGINT) AS before"),
-        F.col("n").alias("total"),
+        end("least").alias("lo"),
+        end("most").alias("hi"),
+        F.col("low").alias("before"),
+        F.expr("n - low - high AS total"),
         F.expr("0 AS segment"),
-        F.expr(f"inline(array({', '.join(sides)}))"),
-    ).where("weight > 0")
+        "t",
+        "rank",
+        "weight",
+    )
 
 
 def _located(
@@ -141,7 +165,11 @@ def _narrowed(df, by, columns, targets: DataFrame, segments: int) -> DataFrame:
     """Each target with the cell of its interval that holds its rank."""
     at = [*by, "feature"]
     part = [*at, "segment"]
-    place = f"least(floor((value - lo) / (hi - lo) * {_CELLS}), {_CELLS - 1})"
+    # the smallest value is in the first cell and the largest in the last, so every pass splits;
+    # a width beyond the largest double is taken at half the scale
+    infinity = "CAST('Infinity' AS DOUBLE)"
+    share = f"CASE WHEN hi - lo < {infinity} THEN (value - lo) / (hi - lo) ELSE (value / 2 - lo / 2) / (hi / 2 - lo / 2) END"
+    place = f"least(floor({share} * {_CELLS}), {_CELLS - 1})"
     cell = F.expr(f"CASE WHEN hi > lo THEN {place} ELSE 0 END AS cell")
     cells = (
         _located(df, by, columns, targets, segments)
@@ -220,16 +248,16 @@ def grouped_quantiles(
     at = [*by, "feature"]
     extent = stage(extents(df, by, columns))
     targets = _targets(extent, at, probs)
-    for passes in range(_MAX_PASSES + 1):
+    while True:
         state = targets.where("lo < hi").groupBy("feature").agg(F.max("total"), F.max("segment")).collect()
         unsettled = {r["feature"] for r in state}
         columns = [c for c in columns if c in unsettled]
         segments = max((r[2] + 1 for r in state), default=1)
-        if passes == _MAX_PASSES or max((r[1] for r in state), default=0) <= order_at_once:
+        if max((r[1] for r in state), default=0) <= order_at_once:
             break
         targets = stage(_narrowed(df, by, columns, targets, segments))
     found = _ordered(df, by, columns, targets, segments)
     wide = found.groupBy(*cols(at)).agg(
         *[F.max(F.when(F.col("t") == t, F.col("quantile"))).alias(f"q{t}") for t in range(len(probs))]
     )
-    return extent.join(wide, at)
+    return extent.drop("low", "high", "least", "most").join(wide, at)

@@ -24,12 +24,22 @@ _BUCKETS = 64
 
 
 def _scales(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Population deviation per numeric column, 1 for a constant one; a single row."""
-    wide = df.agg(F.count("*").alias("_n"), *[F.stddev_pop(double(c)).alias(f"s{i}") for i, c in enumerate(numeric)])
+    """Population deviation per numeric column, 1 for a constant one; a single row.
+
+    An infinite value, from which no distance can be told, is refused when the query runs.
+    """
+    wide = df.agg(
+        F.count("*").alias("_n"),
+        *[F.stddev_pop(double(c)).alias(f"s{i}") for i, c in enumerate(numeric)],
+        *[F.count_if(F.abs(double(c)) == float("inf")).alias(f"bad{i}") for i, c in enumerate(numeric)],
+    )
     return wide.select(
         *[
-            F.when(F.col(f"s{i}") == 0, F.lit(1.0)).otherwise(F.col(f"s{i}")).alias(f"s{i}")
-            for i in range(len(numeric))
+            F.when(F.col(f"bad{i}") > 0, F.raise_error(F.lit(f"infinite values in {c}")).cast("double"))
+            .when(F.col(f"s{i}") == 0, F.lit(1.0))
+            .otherwise(F.col(f"s{i}"))
+            .alias(f"s{i}")
+            for i, c in enumerate(numeric)
         ],
         "_n",
     )

@@ -107,3 +107,27 @@ def test_box_plot(spark):
         assert r.whisker_hi == pytest.approx(max(values[values <= hi].max(), q3))
         assert r.n_outliers == int(((values < lo) | (values > hi)).sum())
     assert outliers.count() == sum(r.n_outliers for r in found.values())
+
+
+@pytest.mark.parametrize("order_at_once", [100_000, 5])
+def test_quantiles_beside_infinite_values(spark, order_at_once):
+    values = [float("-inf")] * 2 + [float(v) for v in range(50)] + [float("inf")] * 3
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    r = grouped_quantiles(df, [], ["x"], [0.0, 0.25, 0.5, 1.0], order_at_once).first()
+    assert (r.n, r.q0, r.q3) == (55, float("-inf"), float("inf"))
+    assert (r.q1, r.q2) == (values[13] + 0.5, values[27])
+
+
+def test_quantiles_of_nothing_finite_and_of_the_widest_values(spark):
+    df = spark.createDataFrame([("a", float("inf")), ("a", float("inf")), ("b", -1.7e308), ("b", 0.0), ("b", 1.7e308)], "g string, x double")
+    found = {r["g"]: r for r in grouped_quantiles(df, ["g"], ["x"], [0.0, 0.5, 1.0], order_at_once=1).collect()}
+    assert [found["a"][f"q{i}"] for i in range(3)] == [float("inf")] * 3
+    assert [found["b"][f"q{i}"] for i in range(3)] == [-1.7e308, 0.0, 1.7e308]
+
+
+def test_auto_bins_of_integers_equal_numpy(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"x": np.arange(1000) % 5, "y": rng.integers(-400, 900, 1000)})
+    layout = {r.feature: r for r in dist.auto_bins(spark.createDataFrame(pdf), ["x", "y"]).collect()}
+    for c in ("x", "y"):
+        assert layout[c].bins == len(np.histogram_bin_edges(pdf[c], "auto")) - 1

@@ -110,3 +110,10 @@ def test_crosstab_counts_and_value_counts(rows):
     counts = crosstab.value_counts_pct(rows.where(F.col("id") < 6), "c1").collect()
     assert [(r.value, r.n) for r in counts] == [("x", 2), ("y", 2), ("z", 1)]
     assert sum(r.pct for r in counts) == pytest.approx(100.0)
+
+
+def test_dense_form_takes_any_number_of_values(spark):
+    rows = spark.range(1501).selectExpr("IF(id = 0, 'a', 'b') AS grp", "CAST(id AS STRING) AS c1")
+    dense = crosstab.crosstab_pct(rows, "grp", ["c1"], dense=True).collect()
+    assert len(dense) == 2 * 1501 and sum(r.n for r in dense) == 1501
+    assert sum(r.pct for r in dense if r.category == "a") == 100.0

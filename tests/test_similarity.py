@@ -135,3 +135,10 @@ def test_no_features(spark):
 def test_top_rows_ties_and_missing(make):
     rows = make([(3, "", "", "", 1.0), (1, "", "", "", 1.0), (2, "", "", "", None), (4, "", "", "", 5.0)])
     assert [r.id for r in similarity.top_rows(rows, "x", ["id"], 4).collect()] == [4, 1, 3, 2]
+
+
+def test_infinite_values_are_refused(make):
+    rows = make([(1, "a", "", "", float("inf")), (2, "a", "", "", 1.0), (3, "b", "", "", 2.0)])
+    profiles = make([(1, "a", "", "", 1.0)])
+    with pytest.raises(Exception, match="infinite values in x"):
+        similarity.nearest_rows(rows, profiles, "grp", ["id"], ["x"], []).collect()
