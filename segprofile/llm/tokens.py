@@ -29,7 +29,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -241,17 +241,25 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["part", "file", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
+def place_of(path: Column) -> tuple[Column, Column]:
+    """Writing task, and file of that task, from a name part-<task>-<uuid>-c<file>.<endings>.
+
+    The counter is what ends the name: a group of the uuid may begin with c and a digit too.
+    """
+    return F.regexp_extract(path, r"part-(\d+)-[^/]*$", 1).cast("long"), F.regexp_extract(path, r"-c(\d+)(?:\.[^/]*)?$", 1).cast("long")
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (over all files), n_tokens, ids_crc32 of every document in the files.
 
     Files begin where those before them end: files are added up inside a writing task, tasks over all.
     """
-    name = F.col("path")
+    part, file = place_of(F.col("path"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
     found = stage(
         files.select(
-            F.regexp_extract(name, r"part-(\d+)-[^/]*$", 1).cast("long").alias("part"),
-            F.regexp_extract(name, r"-c(\d+)[^/]*$", 1).cast("long").alias("file"),
+            part.alias("part"),
+            file.alias("file"),
             "content",
         ).mapInArrow(_documents, "part long, file long, doc_id long, at long, n_tokens long, ids_crc32 long")
     )

@@ -1,5 +1,6 @@
 import itertools
 import math
+import shutil
 import zlib
 from collections import Counter
 
@@ -51,6 +52,19 @@ def test_files_hold_every_document_in_order(spark, odd, none, tmp_path):
     assert ids == sorted(ids)
 
 
+def test_files_are_in_order_whatever_the_uuid_in_their_names(spark, odd, tmp_path):
+    T.write_tokens(odd, str(tmp_path / "a"), PATH, per_file=50)
+    for to, uuid in (("b", "2f9c1e7a-c41d-4b6e-9d10-5a1b2c3d4e5f"), ("c", "c0ffee00-1111-4222-8333-c12345678901"), ("d", "0a0a0a0a-c412-4222-c333-444455556666")):
+        (tmp_path / to).mkdir()
+        for f in (tmp_path / "a").glob("part-*"):
+            task, file = f.name.split("-")[1], f.name.rsplit("-", 1)[1]
+            shutil.copy(f, tmp_path / to / f"part-{task}-{uuid}-{file}")
+        rows = sorted(T.read_documents(spark, str(tmp_path / to)).collect(), key=lambda r: (r.start, r.n_tokens))
+        assert len(rows) == 12 and [r.start for r in rows] == [0, *itertools.accumulate(r.n_tokens for r in rows)][:-1]
+    names = [("s3://b/part-9-c8-c7.txt/part-00003-2f9c1e7a-c41d-4b6e-9d10-5a1b2c3d4e5f-c002.txt",), ("part-00012-2f9c1e7a-941d-4b6e-9d10-ca1b2c3d4e5f-c010.txt.gz",)]
+    assert [tuple(r) for r in spark.createDataFrame(names, "path string").select(*T.place_of(F.col("path"))).collect()] == [(3, 2), (12, 10)]
+
+
 def digest(ids):
     return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
 
