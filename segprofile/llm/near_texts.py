@@ -1,7 +1,7 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is its shingles of five words, each weighing tf x idf. Document frequencies are counted over
-all documents in hashed counters (2^20 of them, as feature hashing does); idf lies
+A text is its shingles of five words, each weighing tf x idf. Document frequencies are counted exactly, over
+all documents and whatever their number; idf lies
 between ``FLAT`` and 1, so that what many documents share counts less, and the shingles that large groups of copies
 have in common still count. Texts are linked if the weighted Jaccard similarity, sum of minima over sum of
 maxima, is at least 0.8; groups are the connected components of the links.
@@ -10,6 +10,11 @@ Every text gets 24 consistent weighted samples (Ioffe 2010): two texts agree in
 their similarity. Two samples make a band; texts that agree in a band are candidates (all but one pair in 10^5 at
 0.8), if at least ``AGREE`` of 24 samples agree. Candidates are verified on their whole texts.
 
+Frequencies gather in no one place. Documents are dealt into chunks and the 64-bit shingles into buckets, both growing in
+number with the input. A chunk adds up its own documents before it sends each bucket its shingles; a bucket answers
+each chunk with the shingles that more documents than one have (idf is 1 for all others), and every text carries on the
+idf of those it holds.
+
 Equal texts are one text. A band's texts, however many, are met in blocks of bounded size, and
 no pairs are listed within a group of copies. A block proposes a spanning forest of its candidates, each verified: first every
 block by itself, then one text of each group so far. What is still apart and connected by candidates is then
@@ -23,6 +28,7 @@ document; an empty table gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +41,14 @@ from segprofile.llm.blocks import block_pairs
 from segprofile.llm.components import components
 from segprofile.llm.near_vectors import joined
 from segprofile.llm.tables import read, small
-from segprofile.llm.text import Tokens, mix, pieces, shingles
-from segprofile.llm.vectors import PIECE_SCHEMA, added, piece_rows
+from segprofile.llm.text import Tokens, buffer_of, mix, pieces, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
 SAMPLES, BAND, AGREE = 24, 2, 11
-COUNTERS, FLAT = 1 << 20, 0.75
+COUNTERS, FLAT = 1 << 20, 0.75  # a plain array of weights is looked up by this many hashes
+CHUNK, CHUNKS = 1 << 23, 1 << 10  # bytes of text in a chunk; on small input up to so many chunks of 1/32 of that
 BLOCK, TEXT_BLOCK = 1024, 192
 _COLUMNS = 2048
-_PIECE = 8192
 _ELEMENTS = 1 << 16  # shingles sampled at a time
 _U = np.uint64
 
@@ -63,26 +68,121 @@ def weighted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def counter_of(values: np.ndarray) -> np.ndarray:
-    return (values >> _U(40)) & _U(COUNTERS - 1)
+    """What the weight of a shingle is looked up by: all 64 bits of it."""
+    return values
+
+
+#: A shingle of a text, by its place among the text's distinct shingles in ascending order, and its idf.
+_CARRIED = np.dtype([("at", "<u4"), ("idf", "<f4")])
+
+
+class Frequencies:
+    """idf by shingle; 1 for all that are not named."""
 
+    def __init__(self, values: np.ndarray, idf: np.ndarray):
+        order = np.argsort(values)
+        self.values, self.idf = values[order], idf[order]
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros(COUNTERS)
-    for batch in batches:
-        for _, texts in pieces(batch.column(0)):
-            sums += np.bincount(counter_of(weighted(texts)[1]).astype(np.int64), minlength=COUNTERS)
-    yield piece_rows(sums, _PIECE)
+    def __getitem__(self, keys) -> np.ndarray:
+        keys = np.asarray(keys).astype(_U)
+        out = np.ones(keys.shape, np.float32)
+        if len(self.values):
+            place = np.minimum(np.searchsorted(self.values, keys), len(self.values) - 1)
+            out = np.where(self.values[place] == keys, self.idf[place], out)
+        return out
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """idf of every counter, from all texts."""
-    n = texts.count()
-    counts = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(_frequencies, PIECE_SCHEMA)
-    seen = added(counts, COUNTERS, _PIECE)
-    rarity = np.log1p(n / np.maximum(seen, 1)) / np.log1p(max(n, 1))
+def weights_of(idf, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """idf of the distinct shingles of texts in order, from what the texts carry, from ``Frequencies`` or from a plain array."""
+    if isinstance(idf, Frequencies):
+        return idf[values]
+    if isinstance(idf, np.ndarray):
+        return idf[((values >> _U(40)) % _U(len(idf))).astype(np.int64)]
+    data, starts = buffer_of(idf)
+    entries = np.frombuffer(data.tobytes(), _CARRIED)
+    n = np.diff(starts) // _CARRIED.itemsize
+    out = np.ones(len(rows), np.float32)
+    out[np.repeat(np.searchsorted(rows, np.arange(len(n))), n) + entries["at"].astype(np.int64)] = entries["idf"]
+    return out
+
+
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    rarity = np.log1p(n / np.maximum(df, 1)) / np.log1p(max(n, 1))
     return (FLAT + (1 - FLAT) * np.minimum(rarity, 1)).astype(np.float32)
 
 
+def _dealt(table: pa.Table, buckets: int) -> pa.Table:
+    """A chunk's distinct shingles by bucket: ``shingles``, those of several documents first, whose numbers are ``counts``."""
+    text = table.column("text").combine_chunks()
+    found = [weighted(part)[1] for _, part in pieces(text)]
+    values, n = np.unique(np.concatenate([np.zeros(0, _U), *found]), return_counts=True)
+    key = ((values >> _U(32)) % _U(buckets)).astype(np.int64) * 2 + (n == 1)
+    order = np.argsort(key.astype(np.uint16) if 2 * buckets < 1 << 16 else key, kind="stable")
+    values, n, key = values[order], n[order], key[order]
+    own = np.unique(key >> 1)
+    first, single, last = (np.searchsorted(key, own * 2 + i) for i in range(3))
+    return pa.table(
+        {
+            "bucket": pa.array(own, pa.int64()),
+            "chunk": pa.array(np.full(len(own), table.column("chunk")[0].as_py() if len(own) else 0), pa.int64()),
+            "shingles": pa.array([values[a:b].astype("<u8").tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
+            "counts": pa.array([n[a:b].astype("<u8").tobytes() for a, b in zip(first, single, strict=True)], pa.binary()),
+        }
+    )
+
+
+def _counted(table: pa.Table, documents: int) -> pa.Table:
+    """idf of a bucket's shingles that several documents have, for every chunk that has them."""
+    shingles_, counts = (table.column(c).combine_chunks() for c in ("shingles", "counts"))
+    values = np.frombuffer(buffer_of(shingles_)[0].tobytes(), "<u8")
+    ends = buffer_of(shingles_)[1] // 8
+    several = np.diff(buffer_of(counts)[1]) // 8
+    n = np.ones(len(values), np.int64)
+    places = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+    n[np.repeat(ends[:-1], several) + places] = np.frombuffer(buffer_of(counts)[0].tobytes(), "<u8").astype(np.int64)
+    order = np.argsort(values, kind="stable")
+    firsts = np.flatnonzero(np.append(True, np.diff(values[order]) != 0)) if len(values) else np.zeros(0, np.int64)
+    df = np.empty(len(values), np.int64)
+    if len(values):
+        df[order] = np.repeat(np.add.reduceat(n[order], firsts), np.diff(np.append(firsts, len(values))))
+    kept = np.flatnonzero(df > 1)
+    values, idf = values[kept], idf_of(df[kept], documents)
+    bounds = np.searchsorted(kept, ends)
+    some = np.flatnonzero(np.diff(bounds))
+    return pa.table(
+        {
+            "chunk": table.column("chunk").combine_chunks().take(pa.array(some)),
+            "shingles": pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary()),
+            "idf": pa.array([idf[bounds[i] : bounds[i + 1]].astype("<f4").tobytes() for i in some], pa.binary()),
+        }
+    )
+
+
+def _frequencies(table: pa.Table) -> Frequencies:
+    """From what the buckets have answered."""
+    values, idf = (np.frombuffer(buffer_of(table.column(c).combine_chunks())[0].tobytes(), t) for c, t in (("shingles", "<u8"), ("idf", "<f4")))
+    return Frequencies(values, idf)
+
+
+def _in_chunks(texts: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(chunk, doc_id, digest, text) and the buckets' answers (chunk, shingles, idf)."""
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    chunks = max(1, math.ceil(max(min(32 * size / chunk, CHUNKS), size / chunk)))
+    digest = _digest(F.col("text"))
+    dealt = texts.select(F.pmod(F.xxhash64("doc_id", digest), F.lit(chunks)).alias("chunk"), "doc_id", digest.alias("digest"), "text")
+    sent = dealt.groupBy("chunk").applyInArrow(lambda t: _dealt(t, chunks), "bucket long, chunk long, shingles binary, counts binary")
+    answers = sent.groupBy("bucket").applyInArrow(lambda t: _counted(t, n), "chunk long, shingles binary, idf binary")
+    return dealt, answers
+
+
+def inverse_frequencies(texts: DataFrame, chunk: int = CHUNK) -> Frequencies:
+    """idf of the shingles of a table small enough to gather them, as ``near_text_classes`` weighs them."""
+    named = texts.select(F.monotonically_increasing_id().alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    found = _frequencies(_in_chunks(named, chunk)[1].toArrow())
+    first = np.unique(found.values, return_index=True)[1]
+    return Frequencies(found.values[first], found.idf[first])
+
+
 # -- samples ----------------------------------------------------------------------------------
 
 
@@ -127,30 +227,35 @@ def _digest(text: Column) -> Column:
     return F.md5(text)
 
 
-def _signed(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, digest) to (doc_id, digest, samples); samples are null without words."""
-    for batch in batches:
-        for first, texts in pieces(batch.column(1)):
-            rows, values, tf = weighted(texts)
-            found = samples(rows, values, tf * idf[counter_of(values).astype(np.int64)], len(texts))
-            some = np.zeros(len(texts), bool)
-            some[rows] = True
-            signs = [x.astype("<u4").tobytes() if ok else None for x, ok in zip(found, some, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(signs, pa.binary())], ["doc_id", "digest", "samples"]
-            )
+def _signed(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """(doc_id, digest, samples, idf) of a chunk's texts; samples are null without words, idf is what the text carries."""
+    known = _frequencies(answers)
+    signs, carried = [], []
+    for _, texts in pieces(table.column("text").combine_chunks()):
+        rows, values, tf = weighted(texts)
+        idf = known[values]
+        found = samples(rows, values, tf * idf, len(texts))
+        some = np.zeros(len(texts), bool)
+        some[rows] = True
+        signs += [x.astype("<u4").tobytes() if ok else None for x, ok in zip(found, some, strict=True)]
+        named = np.flatnonzero(idf < 1)
+        entries = np.empty(len(named), _CARRIED)
+        entries["at"], entries["idf"] = named - np.searchsorted(rows, rows[named]), idf[named]
+        bounds = np.searchsorted(rows[named], np.arange(len(texts) + 1))
+        carried += [entries[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    return pa.table({"doc_id": table.column("doc_id"), "digest": table.column("digest"), "samples": pa.array(signs, pa.binary()), "idf": pa.array(carried, pa.binary())})
 
 
 # -- verification -----------------------------------------------------------------------------
 
 
-def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair of texts."""
+def similarities(left: pa.Array, right: pa.Array, idf_left, idf_right) -> np.ndarray:
+    """Weighted Jaccard similarity of each pair of texts, with what each carries."""
     n = len(left)
     rows, values, weights, totals = [], [], [], np.zeros(n)
-    for texts in (left, right):
+    for texts, idf in ((left, idf_left), (right, idf_right)):
         r, s, tf = weighted(texts)
-        w = tf.astype(np.float64) * idf[counter_of(s).astype(np.int64)]
+        w = tf.astype(np.float64) * weights_of(idf, r, s)
         totals += np.bincount(r, w, n)
         rows.append(r), values.append(s), weights.append(w)
     r, s, w = np.concatenate(rows), np.concatenate(values), np.concatenate(weights)
@@ -161,8 +266,8 @@ def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray
     return np.where(totals > shared, shared / np.maximum(totals - shared, 1e-300), 0.0)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, linked) of each pair; ``texts`` has (rep, text) of the texts that occur in pairs."""
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, linked) of each pair; ``texts`` has (rep, text, idf) of the texts that occur in pairs."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,12 +275,12 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHO
                 part = batch.slice(first, len(left))
                 for i, right in pieces(part.column(3)):
                     own = part.slice(i, len(right))
-                    linked = similarities(own.column(2), right, idf.value) >= threshold
+                    linked = similarities(own.column(2), right, own.column(4), own.column(5)) >= threshold
                     yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(linked)], ["a", "b", "linked"])
 
-    one = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    one = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"), F.col("idf").alias("idf_a"))
+    other = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"), F.col("idf").alias("idf_b"))
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b", "idf_a", "idf_b")
     return stage(both.mapInArrow(judge, "a long, b long, linked boolean"))
 
 
@@ -226,8 +331,8 @@ def _proposals(members: DataFrame, signs: DataFrame, block: int, across: bool) -
     return dealt.join(signs, "rep").groupBy("band", "low", "high").applyInArrow(_propose, "a long, b long").distinct()
 
 
-def all_similarities(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of every text with every other.
+def all_similarities(texts: pa.Array, idf) -> np.ndarray:
+    """Weighted Jaccard similarity of every text with every other; ``idf`` as in ``weights_of``.
 
     A shingle that occurs tf times is tf features of weight idf, so a sum of minima is a product of 0/1 matrices.
     Features of one text alone add to its total only.
@@ -236,7 +341,7 @@ def all_similarities(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
     parts = [(first, *weighted(part)) for first, part in pieces(texts)]
     rows = np.concatenate([first + r for first, r, _, _ in parts])
     values, tf = np.concatenate([v for _, _, v, _ in parts]), np.concatenate([t for _, _, _, t in parts])
-    weights = idf[counter_of(values).astype(np.int64)].astype(np.float64)
+    weights = weights_of(idf, rows, values).astype(np.float64)
     totals = np.bincount(rows, tf * weights, n)
     times = tf.astype(np.int64)
     rows, weights = np.repeat(rows, times), np.repeat(weights, times)
@@ -260,11 +365,11 @@ def all_similarities(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
     return shared / np.maximum(totals[:, None] + totals[None, :] - shared, 1e-300)
 
 
-def _link(table: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
+def _link(table: pa.Table, threshold: float) -> pa.Table:
     """(a, b) that unite the groups linked within a block or pair of blocks."""
     rep, group = table.column("rep").to_numpy(), table.column("component").to_numpy()
     order = np.argsort(rep)
-    texts = table.column("text").combine_chunks().take(pa.array(order))
+    texts, idf = (table.column(c).combine_chunks().take(pa.array(order)) for c in ("text", "idf"))
     rep, group = rep[order], group[order]
     linked = (all_similarities(texts, idf) >= threshold) & (group[:, None] != group[None, :])
     some = np.flatnonzero(linked.any(axis=1))
@@ -273,12 +378,11 @@ def _link(table: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
     return pa.table({"a": rep[some[moved]], "b": rep[root[moved]]})
 
 
-def near_text_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
+def near_text_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, text_block: int = TEXT_BLOCK, chunk: int = CHUNK) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group), kept of every document."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(texts))
-    signed = stage(texts.withColumn("digest", _digest(F.col("text"))).mapInArrow(lambda it: _signed(it, idf.value), "doc_id long, digest string, samples binary"))
+    dealt, answers = _in_chunks(texts, chunk)
+    signed = stage(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_signed, "doc_id long, digest string, samples binary, idf binary"))
     known = signed.filter(F.col("doc_id").isNotNull())
     reps = stage(known.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("samples").alias("samples")))
     # a doc_id that stands for several texts is compared by each of them under a name of its own
@@ -291,15 +395,17 @@ def near_text_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int
     signs = stage(with_words.join(members.select("rep").distinct(), "rep", "left_semi"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """rep and text of the texts named: documents are read once more, and only these go on."""
+        """rep, text and idf of the texts named: documents are read once more, and only these go on."""
         named = small(stage(signs.join(wanted, "rep", "left_semi").select("rep", "doc_id")), 1_000_000)
         found = texts.join(named, "doc_id")
-        return stage(found.filter(F.xxhash64(_digest(F.col("text")), "doc_id") == F.col("rep")).select("rep", "text").dropDuplicates(["rep"]))
+        found = found.filter(F.xxhash64(_digest(F.col("text")), "doc_id") == F.col("rep")).select("rep", "text").dropDuplicates(["rep"])
+        carried = known.select("doc_id", "digest", "idf").join(named, "doc_id").filter(F.xxhash64("digest", "doc_id") == F.col("rep"))
+        return stage(found.join(carried.select("rep", "idf").dropDuplicates(["rep"]), "rep"))
 
     def judged(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs)
         ids = stage(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
-        return verified(pairs, texts_of(ids), idf, threshold).filter("linked").select("a", "b")
+        return verified(pairs, texts_of(ids), threshold).filter("linked").select("a", "b")
 
     def labelled(links: DataFrame) -> DataFrame:
         """Members of the bands in which several groups are left."""
@@ -317,8 +423,8 @@ def near_text_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int
     rest = rest.select("rep", "component").distinct().join(cluster, "rep")
     apart = rest.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("cluster")
     rest = stage(rest.join(apart, "cluster"))
-    dealt = block_pairs(rest, "cluster", "rep", text_block).join(texts_of(rest.select("rep").distinct()), "rep")
-    more = dealt.groupBy("cluster", "low", "high").applyInArrow(lambda t: _link(t, idf.value, threshold), "a long, b long")
+    met = block_pairs(rest, "cluster", "rep", text_block).join(texts_of(rest.select("rep").distinct()), "rep")
+    more = met.groupBy("cluster", "low", "high").applyInArrow(lambda t: _link(t, threshold), "a long, b long")
     links = stage(links.union(more))
     # from names of texts to documents; equal texts, and texts of one doc_id
     name = signs.select(F.col("rep").alias("_name"), "doc_id")

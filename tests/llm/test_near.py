@@ -114,6 +114,38 @@ def test_texts_equal_brute_force(spark, documents, block, text_block):
         assert together[i, j] == pytest.approx(similarity(texts[i] or "", texts[j] or "", idf)) or texts[i] is None
 
 
+def test_frequencies_are_exact_whatever_the_number_of_shingles(spark, documents):
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"u{x}" for x in rng.integers(0, 10**9, 2000)) + (f" {passage}" * 2 if i % 4 == 0 else "") for i in range(400)]
+    found = Counter(v for t in texts for v in NT.weighted(pa.array([t]))[1].tolist())
+    values = np.array(list(found), np.uint64)
+    want = NT.FLAT + (1 - NT.FLAT) * np.log1p(400 / np.array(list(found.values()))) / np.log1p(400)
+    docs = documents([(i, t, "en", "a") for i, t in enumerate(texts)])
+    for more in ({}, {"chunk": 1 << 30}):
+        idf = NT.inverse_frequencies(docs.select("text"), **more)
+        assert len(values) > 700_000 and idf[NT.counter_of(values).astype(np.int64)] == pytest.approx(want, rel=1e-6)
+
+
+def test_classes_do_not_change_with_what_other_texts_hold(spark, documents):
+    rng = np.random.default_rng(7)
+    passage = " ".join(f"p{i}" for i in range(300))
+    own = [" ".join(f"o{g}x{i}" for i in range(62)) for g in range(60)]
+    texts = [f"{own[g]} {passage} {' '.join(f'e{g}y{c}z{i}' for i in range(5 + g % 12))}" for g in range(60) for c in range(2)]
+    many = [" ".join(f"u{x}" for x in rng.integers(0, 10**9, 20_000)) for _ in range(100)]
+    docs = documents([(i, t, "en", "a") for i, t in enumerate([*texts, *many])])
+    n, found = len(texts) + len(many), Counter(v for t in texts for v in NT.weighted(pa.array([t]))[1].tolist())
+    sides = [{v: NT.FLAT + (1 - NT.FLAT) * np.log1p(n / found[v]) / np.log1p(n) for v in NT.weighted(pa.array([t]))[1].tolist()} for t in texts]
+
+    def alike(x, y):
+        shared = sum(x[k] for k in x.keys() & y.keys())
+        return shared / (sum(x.values()) + sum(y.values()) - shared)
+
+    links = [(j, i) for i in range(len(texts)) for j in range(i) if alike(sides[j], sides[i]) >= 0.8]
+    got = {r.doc_id: r.class_id for r in NT.near_text_classes(docs).collect()}
+    assert [got[i] for i in range(n)] == roots(n, links)
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(2)
     words = [f"v{i}" for i in range(5000)]
