@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from segprofile.llm import decontamination, hidden_markov, language, mixing, near_texts, near_vectors, quality, sharding, tokens, toxicity
+from segprofile.llm import (
+    conversation_repair,
+    decontamination,
+    hidden_markov,
+    language,
+    mixing,
+    near_texts,
+    near_vectors,
+    piece_encoding,
+    quality,
+    sharding,
+    token_alignment,
+    tokens,
+    toxicity,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +30,9 @@ QUERIES = {
     "op8_near_vectors": near_vectors.query,
     "op9_near_texts": near_texts.query,
     "op10_mixing": mixing.query,
+    "op11_token_alignment": token_alignment.query,
+    "op12_conversation_repair": conversation_repair.query,
+    "op13_piece_encoding": piece_encoding.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
