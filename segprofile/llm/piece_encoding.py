@@ -7,9 +7,9 @@ whose left neighbour, the last token of what is before it, it is compatible with
 while both are put together from their characters side by side, no merge reaches over their border; that is
 followed on the right edge of the one and the left edge of the other. The ids are read off the table backwards.
 
-The table is kept for a unit at a time: white space marks and what follows them up to the next ones, as far as
-no piece of the model reaches from other characters into a mark. Characters that no piece holds stand alone and
-become bytes. Units and pair tests are remembered, both up to a fixed number; nothing else is kept between texts.
+Texts are cut into units where no piece of the model reaches over: before white space marks, and between letters and
+others, as far as the vocabulary's own pieces allow it. Characters that no piece holds stand alone and become bytes. Units
+and pair tests are remembered, both up to a fixed number; nothing else is kept between texts.
 
 Edge cases: null is encoded as empty text, which is the begin and the end id alone; a mark (U+2581) in a text is a
 space and decodes as one, as in the library; a table without rows gives none; other columns are not looked at.
@@ -19,6 +19,7 @@ Models that are not BPE with byte fallback, or normalise texts, are refused.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -37,7 +38,7 @@ MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "
 _NORMAL, _UNKNOWN, _CONTROL, _OWN, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values: types of pieces in the model file
 _BPE = 2  # fixed value: type of the model
-REMEMBERED_UNITS, REMEMBERED_PAIRS = 300_000, 2_000_000
+REMEMBERED_UNITS, REMEMBERED_PAIRS = 400_000, 2_000_000
 
 
 class Model:
@@ -59,7 +60,6 @@ class Model:
         self.ids = {p.piece: i for i, p in normal}
         self.score = {p.piece: p.score for _, p in normal}
         self.byte_id = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
-        self.marks_lead = all(re.fullmatch(f"{MARK}*[^{MARK}]*", p) for p in self.ids)
         as_bytes = {
             _NORMAL: lambda p: p.replace(MARK, " ").encode(),
             _BYTE: lambda p: bytes([int(p[1:-1], 16)]),
@@ -95,15 +95,30 @@ class Encoder:
         # characters of pieces that are no pieces themselves end prefixes too
         self.tokens += sorted({c for p in vocabulary.ids for c in p} - set(vocabulary.ids))
         self.lengths = [len(t) for t in self.tokens]
-        self.characters = frozenset(t for t in self.tokens if len(t) == 1)
+        self.start = len(self.tokens)  # stands for the last token where nothing is before a character
         self.automaton = ahocorasick.Automaton()
         for number, token in enumerate(self.tokens):
             self.automaton.add_word(token, number)
         self.automaton.make_automaton()
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if vocabulary.marks_lead else "(?s).+")
+        self.cut, self.alone = self._borders()
         self.steps = _Remembered(self._steps, len(self.tokens) + 1)
         self.fits = _Remembered(self._fits, REMEMBERED_PAIRS)
-        self.units = _Remembered(self._unit, REMEMBERED_UNITS)
+        self.units: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+
+    def _borders(self) -> tuple[re.Pattern, re.Pattern]:
+        """Patterns of the units, and of characters that no piece holds. No piece of the model reaches over the end of a unit."""
+        held = {c for t in self.tokens for c in t}
+        letters = {c for c in held if c.isalpha()}
+        inside = {(x, y) for t in self.tokens for x, y in zip(t, t[1:], strict=False)}
+        one, other = (re.escape("".join(sorted(c))) for c in (letters, held))
+        if any(y == MARK and x != MARK for x, y in inside):
+            cut = "(?s:.+)"
+        elif any((x in letters) != (y in letters) and x != MARK for x, y in inside):
+            cut = f"{MARK}*[^{MARK}]+|{MARK}+"
+        else:
+            cut = f"{MARK}*[{one}]+|{MARK}*[^{MARK}{one}]+|{MARK}+"
+        return re.compile(cut), re.compile(f"[^{other}]")
 
     def _steps(self, number: int) -> list[tuple[float, str | None, str | None]] | None:
         """How a piece is put together: (score, new left edge, new right edge) of each merge; None if it never is."""
@@ -122,8 +137,11 @@ class Encoder:
 
     def _fits(self, pair: int) -> bool:
         """Whether no merge reaches over the border while two pieces are put together; equal scores go leftmost first."""
-        left, right = divmod(pair, len(self.tokens))
-        left_steps, right_steps = self.steps[left], self.steps[right]
+        left, right = divmod(pair, self.start + 1)
+        right_steps = self.steps[right]
+        if left == self.start:
+            return right_steps is not None
+        left_steps = self.steps[left]
         if left_steps is None or right_steps is None:
             return False
         x, y, i, j = self.tokens[left][-1], self.tokens[right][0], 0, 0
@@ -141,38 +159,47 @@ class Encoder:
                 y, j = right_steps[j][1] or y, j + 1
 
     def _last_tokens(self, run: str) -> list[int]:
-        """The last token of every prefix of a run of characters that pieces hold."""
-        lengths, fits, n = self.lengths, self.fits, len(self.tokens)
+        """The last token of every prefix of a run; behind characters that no piece holds everything starts anew."""
+        lengths, fits, n = self.lengths, self.fits, self.start + 1
         last = [-1] * (len(run) + 1)
+        last[0] = self.start
+        for alone in self.alone.finditer(run):
+            last[alone.end()] = self.start
         for at, token in self.automaton.iter(run):
-            if last[at + 1] < 0:
-                before = at + 1 - lengths[token]
-                if fits[last[before] * n + token] if before else self.steps[token] is not None:
-                    last[at + 1] = token
+            if last[at + 1] < 0 and fits[last[at + 1 - lengths[token]] * n + token]:
+                last[at + 1] = token
         return last
 
-    def _run(self, run: str) -> list[int]:
-        last, at, out = self._last_tokens(run), len(run), []
-        while at:
-            token = self.tokens[last[at]]
-            found = self.model.ids.get(token)
-            out += [found] if found is not None else [self.model.byte_id[b] for b in reversed(token.encode())]
-            at -= len(token)
-        return out[::-1]
-
-    def _unit(self, unit: str) -> bytes:
-        ids, start = [], 0
-        for i, c in enumerate(unit):
-            if c not in self.characters:
-                ids += self._run(unit[start:i]) + [self.model.byte_id[b] for b in c.encode()]
-                start = i + 1
-        return np.array(ids + self._run(unit[start:]), "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text without begin and end, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        return b"".join(map(self.units.__getitem__, self.cut.findall(MARK + text.replace(" ", MARK))))
+    def _encoded(self, units: list[str]) -> None:
+        """Remember the ids of units."""
+        between = "\n" if self.alone.match("\n") else next(chr(i) for i in range(0x110000) if self.alone.match(chr(i)))
+        run = between.join(units)
+        last, start, tokens, lengths, ids = self._last_tokens(run), 0, self.tokens, self.lengths, self.model.ids
+        for unit in units:
+            at, out = start + len(unit), array("I")
+            while at > start:
+                token = last[at]
+                if token == self.start or tokens[token] not in ids:
+                    held = run[at - 1 : at]
+                    out.extend([self.model.byte_id[b] for b in reversed(held.encode())])
+                    at -= 1
+                else:
+                    out.append(ids[tokens[token]])
+                    at -= lengths[token]
+            out.reverse()
+            self.units[unit] = out.tobytes()
+            start += len(unit) + 1
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without begin and end, as little-endian unsigned 32-bit integers."""
+        cut = [self.cut.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
+        if len(self.units) >= REMEMBERED_UNITS:
+            self.units, self.earlier = {}, self.units
+        missing = set().union(*cut).difference(self.units)
+        for unit in missing.intersection(self.earlier):
+            self.units[unit] = self.earlier[unit]
+        self._encoded(list(missing.difference(self.units)))
+        return [b"".join(map(self.units.__getitem__, units)) for units in cut]
 
 
 @cache
@@ -225,7 +252,7 @@ def decode(vocabulary: Model, ids: bytes) -> str:
 
 
 def _with(column: str, kind: str, convert) -> object:
-    """A function over batches that turns the last column into another, a few megabytes at a time."""
+    """A function over batches that turns the last column into another, a megabyte at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = convert()
@@ -233,7 +260,7 @@ def _with(column: str, kind: str, convert) -> object:
             last = batch.num_columns - 1
             for first, part in pieces(batch.column(last)):
                 rows = batch.slice(first, len(part))
-                values = pa.array([made(x.as_py()) for x in part], pa.type_for_alias(kind))
+                values = pa.array(made(part.to_pylist()), pa.type_for_alias(kind))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:last], values], [*rows.schema.names[:last], column])
 
     return run
@@ -245,7 +272,7 @@ def encode_texts(keys: list[Column], text: Column, docs: DataFrame, path: str) -
     def convert():
         known = encoder(path)
         begin, end = (np.array([i], "<u4").tobytes() for i in (known.model.begin, known.model.end))
-        return lambda t: begin + known.encode(t or "") + end
+        return lambda texts: [begin + ids + end for ids in known.encode([t or "" for t in texts])]
 
     rows = docs.select(*keys, text.cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -258,7 +285,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
     def convert():
         known = model(path)
-        return lambda ids: decode(known, ids)
+        return lambda values: [decode(known, ids) for ids in values]
 
     return encoded.mapInArrow(_with("text", "string", convert), f"{schema}, text string")
 

@@ -26,18 +26,20 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import math
-import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from segprofile.functions.staging import stage
 from segprofile.llm.piece_encoding import model
@@ -50,30 +52,39 @@ FRAME = 1 << 14  # records
 PARCEL = 24 << 20  # bytes of frames
 _TEXTS = 1 << 19  # bytes encoded at a time
 _U = np.uint64
+_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}  # what PATTERN cuts alike
 
 
 # -- tokens -----------------------------------------------------------------------------------
 
 
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Bytes and id of the tokens of a byte-level BPE file whose ids ascend as its merges do, so that ids rank the merges."""
+    with open(path, encoding="utf-8") as file:
+        read_ = json.load(file)
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    value = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    special = {t["content"] for t in read_["added_tokens"]}
+    vocabulary = {t: i for t, i in read_["model"]["vocab"].items() if t not in special}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in read_["model"]["merges"]]
+    order = [vocabulary[m] for m in merges]
+    if order != sorted(order) or len(set(order)) != len(vocabulary) - 256 or read_["pre_tokenizer"] != _PRE_TOKENIZER or read_["normalizer"]:
+        raise ValueError("not a byte-level BPE whose ids rank its merges")
+    return {bytes(value[c] for c in token): i for token, i in vocabulary.items()}
+
+
 class Sides:
     """Both tokenizers, the bytes of their tokens and the names of their ids."""
 
     def __init__(self, first: str, second: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.first = Tokenizer.from_file(first)
-        self.first.encode_special_tokens = True
         self.second = SentencePieceProcessor(model_file=second)
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        others = (b for b in range(256) if b not in plain)
-        value = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-        vocabulary = self.first.get_vocab()
-        own = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            # strings of special tokens are never in an encoding
-            own[i] = bytes(value[c] for c in token) if all(c in value for c in token) else token.encode()
+        ranks = byte_ranks(first)
+        own = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            own[i] = token
+        # no token is special, so their strings are plain text
+        self.first = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes = own, model(second).bytes
         self.sizes = tuple(np.array([len(b) for b in side], np.int64) for side in self.bytes)
         most = max(map(len, self.bytes))
@@ -83,7 +94,7 @@ class Sides:
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides; none where a side does not give back the bytes."""
         spaced = [f" {t}" if t else "" for t in texts]
-        first = [e.ids for e in self.first.encode_batch(spaced, add_special_tokens=False)]
+        first = [self.first.encode_ordinary(t) for t in spaced]
         second = self.second.encode([t or "" for t in texts], num_threads=1)
         none = np.zeros(0, np.int64)
         out = []

@@ -25,7 +25,7 @@ def ids_of(data):
 
 def check(library, text):
     ids = library.encode(text)
-    assert ids_of(pe.encoder(PATH).encode(text)) == ids
+    assert ids_of(pe.encoder(PATH).encode([text])[0]) == ids
     assert pe.decode(pe.model(PATH), np.array([1, *ids, 2], "<u4").tobytes()) == library.decode([1, *ids, 2])
 
 
@@ -61,7 +61,7 @@ def test_every_prefix_has_one_last_token():
         for token, text in enumerate(encoder.tokens):
             if run[:end].endswith(text):
                 before = end - len(text)
-                if encoder.fits[last[before] * len(encoder.tokens) + token] if before else encoder.steps[token] is not None:
+                if encoder.fits[last[before] * (encoder.start + 1) + token]:
                     fit.add(token)
         assert fit == {last[end]}
 
@@ -71,7 +71,16 @@ def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(pe, "REMEMBERED_PAIRS", 3)
     encoder = pe.Encoder(pe.model(PATH))
     text = "some words come again, some words do not come again"
-    assert ids_of(encoder.encode(text)) == library.encode(text)
+    for _ in range(4):
+        assert [ids_of(ids) for ids in encoder.encode([text, "", "other words"])] == [library.encode(t) for t in (text, "", "other words")]
+
+
+def test_units_end_where_no_piece_reaches_over(library):
+    encoder = pe.encoder(PATH)
+    text = "▁▁Some▁words,▁²./x9▁日本 (a)"
+    assert "".join(encoder.cut.findall(text)) == text
+    for left, right in zip(encoder.cut.findall(text), encoder.cut.findall(text)[1:], strict=False):
+        assert not any(left[-1] + right[0] in piece for piece in encoder.model.ids)
 
 
 def test_table(spark, odd, none, library):
