@@ -13,20 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _WAREHOUSE = "spark.sql.warehouse.dir"
+#: Shuffle files of a written table are of no use any more; without this they stay until the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder the session names, else a folder of the warehouse, which is shared too."""
-    named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
-    return named or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get(_WAREHOUSE).rstrip('/')}/_staged"
+    named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    warehouse = spark.conf.get(_WAREHOUSE).rstrip("/")
+    on_one_machine = spark.sparkContext.master.split("[")[0] == "local"
+    if not on_one_machine and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError(f"name a folder that all machines share in {_SETTING}: the warehouse {warehouse} is of one machine")
+    return f"{warehouse}/_staged"
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of what was written."""
     spark = df.sparkSession
     path = f"{staging_root(spark).rstrip('/')}/segprofile-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
