@@ -4,7 +4,7 @@ A tree splits at the median of a projection on a random direction, again and aga
 than ``margin`` goes down both sides, so two similar vectors part only if the split separates them by more
 than that. Vectors of one label that share a leaf of any tree are compared, in double precision;
 links are united. Directions come from a seed, medians from a bounded sample of the vectors; every vector
-goes through every tree.
+goes through every tree, as deep as the number of vectors of its label asks for.
 
 A pair that shares several leaves counts in the first of them only, so numbers of links are exact for the
 pairs that meet. Equal vectors are one vector with a count. A leaf of any size is compared in blocks of
@@ -13,7 +13,7 @@ is connected with there. Pairs are never listed.
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite components, or whose label or
 vec_id is null, links with nothing and is its own component; vectors of different length never
-link; repeated rows are other vectors that link; an empty table gives no rows; other columns are
+link; repeated rows are other vectors that link, and so are several vectors of one vec_id; an empty table gives no rows; other columns are
 not looked at.
 """
 
@@ -75,12 +75,12 @@ class Tree:
         x = np.random.default_rng((_SEED, self.number, node, self.dim)).standard_normal(self.dim)
         return x / np.linalg.norm(x)
 
-    def leaves(self, vectors: np.ndarray, margin: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, places of the vectors in it)."""
+    def leaves(self, vectors: np.ndarray, margin: float, depth: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+        """(node at ``depth`` or leaf above it, places of the vectors in it)."""
         waiting = [(0, np.arange(len(vectors)))]
         while waiting:
             node, members = waiting.pop()
-            if node not in self.splits or not len(members):
+            if node not in self.splits or node >= (1 << depth) - 1 or not len(members):
                 yield node, members
                 continue
             off = vectors[members] @ self.direction(node) - self.splits[node]
@@ -96,21 +96,22 @@ def fit_forest(sample: list[np.ndarray], depth: int, trees: int = TREES) -> dict
 
 
 def _leaves(batches: Iterator[pa.RecordBatch], forest: dict[int, list[Tree]], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(rep, label, n, unit) to the same and ``codes``: all its leaves, in order."""
+    """(rep, label, n, unit, depth) to rep, label, n, unit and ``codes``: all its leaves at that depth, in order."""
     for batch in batches:
         units = [np.frombuffer(u.as_buffer(), "<f8") for u in batch.column(3)]
+        depths = batch.column(4).to_pylist()
         codes: list[list[int]] = [[] for _ in units]
-        for dim in {len(u) for u in units}:
-            own = np.array([i for i, u in enumerate(units) if len(u) == dim])
+        for dim, depth in {(len(u), d) for u, d in zip(units, depths, strict=True)}:
+            own = np.array([i for i, u in enumerate(units) if len(u) == dim and depths[i] == depth])
             vectors = np.stack([units[i] for i in own])
             # half the typical distance of two linked vectors along a random direction
             margin = 0.5 * math.sqrt(2 - 2 * threshold) / math.sqrt(dim)
             for tree in forest.get(dim, ()):
-                for leaf, members in tree.leaves(vectors, margin):
+                for leaf, members in tree.leaves(vectors, margin, depth):
                     for i in own[members]:
                         codes[i].append((dim << 40) + (tree.number << 32) + leaf)
         codes = [sorted(c) or [len(u) << 40] for c, u in zip(codes, units, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], ["rep", "label", "n", "unit", "codes"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(codes, pa.list_(pa.int64()))], ["rep", "label", "n", "unit", "codes"])
 
 
 def _met_before(a: list, b: list, leaf: int) -> np.ndarray:
@@ -187,20 +188,24 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int = L
     kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("vec_id", "label")}
     rows = vectors.select("vec_id", "label", "embedding").mapInArrow(_units, f"vec_id {kinds['vec_id']}, label {kinds['label']}, unit binary")
     rows = stage(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "unit"))
-    reps = stage(rows.filter(F.col("unit").isNotNull()).groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    n, labels = reps.agg(F.count("*"), F.approx_count_distinct("label")).first()
+    # a vector of a label has a name of its own: one vec_id may stand for several
+    named = rows.withColumn("rep", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit")))
+    reps = stage(named.filter(F.col("unit").isNotNull()).groupBy("label", "unit", "rep").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")))
+    # every label is split as often as its own number of vectors asks for
+    sizes = reps.groupBy("label").agg(F.count("*").alias("size"))
+    depths = stage(sizes.select("label", F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / F.lit(leaf)))).cast("int").alias("depth")))
+    n, depth = reps.count(), depths.agg(F.max("depth")).first()[0] or 0
     kept = F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) < F.lit(math.ceil(1_000_000 * min(1.0, SAMPLE / max(n, 1))))
     sample = [np.frombuffer(bytes(r.unit), "<f8") for r in reps.filter(kept).select("unit").limit(2 * SAMPLE).collect()]
-    depth = max(0, math.ceil(math.log2(max(1, n / max(labels, 1) / leaf))))
     forest = spark.sparkContext.broadcast(fit_forest(sample, depth))
-    found = reps.select("rep", "label", "n", "unit").mapInArrow(
+    found = reps.join(depths, "label").select("rep", "label", "n", "unit", "depth").mapInArrow(
         lambda it: _leaves(it, forest.value, threshold), f"rep long, label {kinds['label']}, n long, unit binary, codes array<long>"
     )
     found = stage(found)
     members = found.select("rep", "n", "label", F.explode("codes").alias("leaf")).withColumn("group", F.xxhash64("label", "leaf"))
     # only ids are counted and dealt into blocks; vectors join them at the end
     pairs = block_pairs(members.select("group", "leaf", "label", "rep", "n"), "group", "rep", block)
-    full = pairs.join(found.select("rep", F.col("label").alias("_label"), "unit", "codes"), "rep").filter(F.col("label") == F.col("_label")).drop("_label")
+    full = pairs.join(found.select("rep", "unit", "codes"), "rep")
     compared = stage(
         full.select("rep", "n", "leaf", "label", "block", "low", "high", "unit", "codes")
         .groupBy("label", "leaf", "low", "high")
@@ -208,14 +213,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int = L
     )
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     united = components(compared.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_rep = reps.join(links, "rep", "left").join(united, F.col("rep") == F.col("node"), "left")
-    per_rep = per_rep.select(
-        F.col("label").alias("_label"),
-        F.col("unit").alias("_unit"),
-        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
-    )
-    result = rows.join(per_rep, (F.col("label") == F.col("_label")) & (F.col("unit") == F.col("_unit")), "left")
+    whole = F.coalesce("component", "rep")
+    per_rep = stage(reps.join(links, "rep", "left").join(united, F.col("rep") == F.col("node"), "left").select("rep", "first", "n", "links", whole.alias("whole")))
+    smallest = per_rep.groupBy("whole").agg(F.min("first").alias("component_id"))
+    per_rep = per_rep.join(smallest, "whole").select("rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    result = named.join(per_rep, "rep", "left")
     component = F.coalesce("component_id", "vec_id")
     return result.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 

@@ -52,6 +52,25 @@ def test_vectors_equal_brute_force(spark, leaf, block):
         assert [got[int(ids[i])].component_id for i in order] == [int(ids[order[p]]) for p in place]
 
 
+def test_vectors_of_one_id_count_apart(spark):
+    rows = [(1, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 0, [1.0, 0.01]), (3, 0, [0.01, 1.0]), (4, 0, [1.0, 1.0]), (4, 1, [1.0, 0.0])]
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in NV.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect())
+    assert got == Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4), (4, 0, 4)])
+
+
+def test_a_hot_label_is_split_as_deep_as_its_own_size_asks(spark):
+    rng = np.random.default_rng(11)
+    v = clusters(rng, 900, 64)
+    labels = np.where(np.arange(900) < 500, 0, 1 + np.arange(900) // 10)  # one large label, forty small ones
+    frame = spark.createDataFrame([(i, int(labels[i]), [float(x) for x in v[i]]) for i in range(900)], "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in NV.near_vectors(frame, leaf=20, block=64).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    found, right = sum(got.values()), int(near.sum())
+    assert found <= right and found >= 0.995 * right
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
