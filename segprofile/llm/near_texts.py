@@ -11,8 +11,8 @@ their similarity. Two samples make a band; texts that agree in a band are candid
 0.8), if at least ``AGREE`` of 24 samples agree. Candidates are verified on their whole texts.
 
 Frequencies gather in no one place. Documents are dealt into chunks and the 64-bit shingles into buckets, both growing in
-number with the input. A chunk adds up its own documents before it sends each bucket its shingles; a bucket answers
-each chunk with the shingles that more documents than one have (idf is 1 for all others), and every text carries on the
+number with the input. A chunk adds up its own documents before it sends each bucket its shingles, 48 bits of each beside
+the bucket, which knows the rest; a bucket answers each chunk with the shingles that more documents than one have (idf is 1 for all others), and every text carries on the
 idf of those it holds.
 
 Equal texts are one text. A band's texts, however many, are met in blocks of bounded size, and
@@ -45,12 +45,14 @@ from segprofile.llm.text import Tokens, buffer_of, mix, pieces, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
 SAMPLES, BAND, AGREE = 24, 2, 11
-COUNTERS, FLAT = 1 << 20, 0.75  # a plain array of weights is looked up by this many hashes
+FLAT = 0.75
 CHUNK, CHUNKS = 1 << 23, 1 << 10  # bytes of text in a chunk; on small input up to so many chunks of 1/32 of that
 BLOCK, TEXT_BLOCK = 1024, 192
 _COLUMNS = 2048
 _ELEMENTS = 1 << 16  # shingles sampled at a time
 _U = np.uint64
+_LOW = _U((1 << 48) - 1)
+PARCEL = 20_000  # members of blocks that a task compares one after the other
 
 
 # -- weights ----------------------------------------------------------------------------------
@@ -67,9 +69,15 @@ def weighted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[first], values[first], np.diff(np.append(first, len(rows))).astype(np.float32)
 
 
-def counter_of(values: np.ndarray) -> np.ndarray:
-    """What the weight of a shingle is looked up by: all 64 bits of it."""
-    return values
+def _packed(values: np.ndarray) -> bytes:
+    """The lower 48 bits of each."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(_U)
 
 
 #: A shingle of a text, by its place among the text's distinct shingles in ascending order, and its idf.
@@ -77,14 +85,14 @@ _CARRIED = np.dtype([("at", "<u4"), ("idf", "<f4")])
 
 
 class Frequencies:
-    """idf by shingle; 1 for all that are not named."""
+    """idf by shingle, of which 48 bits name it inside a chunk; 1 for all that are not named."""
 
     def __init__(self, values: np.ndarray, idf: np.ndarray):
         order = np.argsort(values)
         self.values, self.idf = values[order], idf[order]
 
     def __getitem__(self, keys) -> np.ndarray:
-        keys = np.asarray(keys).astype(_U)
+        keys = np.asarray(keys).astype(_U) & _LOW
         out = np.ones(keys.shape, np.float32)
         if len(self.values):
             place = np.minimum(np.searchsorted(self.values, keys), len(self.values) - 1)
@@ -93,11 +101,9 @@ class Frequencies:
 
 
 def weights_of(idf, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """idf of the distinct shingles of texts in order, from what the texts carry, from ``Frequencies`` or from a plain array."""
+    """idf of the distinct shingles of texts in order, from what the texts carry or from ``Frequencies``."""
     if isinstance(idf, Frequencies):
         return idf[values]
-    if isinstance(idf, np.ndarray):
-        return idf[((values >> _U(40)) % _U(len(idf))).astype(np.int64)]
     data, starts = buffer_of(idf)
     entries = np.frombuffer(data.tobytes(), _CARRIED)
     n = np.diff(starts) // _CARRIED.itemsize
@@ -116,7 +122,8 @@ def _dealt(table: pa.Table, buckets: int) -> pa.Table:
     text = table.column("text").combine_chunks()
     found = [weighted(part)[1] for _, part in pieces(text)]
     values, n = np.unique(np.concatenate([np.zeros(0, _U), *found]), return_counts=True)
-    key = ((values >> _U(32)) % _U(buckets)).astype(np.int64) * 2 + (n == 1)
+    # the bucket tells apart what the lower 48 bits do not
+    key = (mix(values) % _U(buckets)).astype(np.int64) * 2 + (n == 1)
     order = np.argsort(key.astype(np.uint16) if 2 * buckets < 1 << 16 else key, kind="stable")
     values, n, key = values[order], n[order], key[order]
     own = np.unique(key >> 1)
@@ -125,7 +132,7 @@ def _dealt(table: pa.Table, buckets: int) -> pa.Table:
         {
             "bucket": pa.array(own, pa.int64()),
             "chunk": pa.array(np.full(len(own), table.column("chunk")[0].as_py() if len(own) else 0), pa.int64()),
-            "shingles": pa.array([values[a:b].astype("<u8").tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
+            "shingles": pa.array([_packed(values[a:b]) for a, b in zip(first, last, strict=True)], pa.binary()),
             "counts": pa.array([n[a:b].astype("<u8").tobytes() for a, b in zip(first, single, strict=True)], pa.binary()),
         }
     )
@@ -134,8 +141,8 @@ def _dealt(table: pa.Table, buckets: int) -> pa.Table:
 def _counted(table: pa.Table, documents: int) -> pa.Table:
     """idf of a bucket's shingles that several documents have, for every chunk that has them."""
     shingles_, counts = (table.column(c).combine_chunks() for c in ("shingles", "counts"))
-    values = np.frombuffer(buffer_of(shingles_)[0].tobytes(), "<u8")
-    ends = buffer_of(shingles_)[1] // 8
+    values = _unpacked(buffer_of(shingles_)[0].tobytes())
+    ends = buffer_of(shingles_)[1] // 6
     several = np.diff(buffer_of(counts)[1]) // 8
     n = np.ones(len(values), np.int64)
     places = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
@@ -152,7 +159,7 @@ def _counted(table: pa.Table, documents: int) -> pa.Table:
     return pa.table(
         {
             "chunk": table.column("chunk").combine_chunks().take(pa.array(some)),
-            "shingles": pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary()),
+            "shingles": pa.array([_packed(values[bounds[i] : bounds[i + 1]]) for i in some], pa.binary()),
             "idf": pa.array([idf[bounds[i] : bounds[i + 1]].astype("<f4").tobytes() for i in some], pa.binary()),
         }
     )
@@ -160,8 +167,8 @@ def _counted(table: pa.Table, documents: int) -> pa.Table:
 
 def _frequencies(table: pa.Table) -> Frequencies:
     """From what the buckets have answered."""
-    values, idf = (np.frombuffer(buffer_of(table.column(c).combine_chunks())[0].tobytes(), t) for c, t in (("shingles", "<u8"), ("idf", "<f4")))
-    return Frequencies(values, idf)
+    values, idf = (buffer_of(table.column(c).combine_chunks())[0].tobytes() for c in ("shingles", "idf"))
+    return Frequencies(_unpacked(values), np.frombuffer(idf, "<f4"))
 
 
 def _in_chunks(texts: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
@@ -287,19 +294,36 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
 # -- candidates -------------------------------------------------------------------------------
 
 
-def _propose(table: pa.Table) -> pa.Table:
-    """A spanning forest (a < b) of the candidates between different groups, of a block or pair of blocks."""
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    rep, group, block = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
-    order = np.lexsort((rep, block))
-    rep, group, block = rep[order], group[order], block[order]
-    signs = table.column("samples").to_pylist()
-    signs = np.stack([np.frombuffer(signs[i], "<u4") for i in order])
-    n = len(rep)
+def _propose_all(table: pa.Table) -> pa.Table:
+    """Spanning forests (a < b) of the candidates between different groups, of all blocks and pairs of blocks of a parcel."""
+    band, low, high, block, rep, group = (table.column(c).to_numpy() for c in ("band", "low", "high", "block", "rep", "component"))
+    order = np.lexsort((rep, block, high, low, band))
+    band, low, high, block, rep, group = (c[order] for c in (band, low, high, block, rep, group))
+    signs = np.frombuffer(buffer_of(table.column("samples").combine_chunks())[0].tobytes(), "<u4").reshape(-1, SAMPLES)[order]
+    new = np.append(True, (np.diff(band) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) if len(band) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(band)))
+    # most blocks have two members
+    two = starts[sizes == 2]
+    apart = (group[two] != group[two + 1]) & ((low[two] == high[two]) | (block[two] != block[two + 1]))
+    two = two[apart & ((signs[two] == signs[two + 1]).sum(axis=1) >= AGREE)] if len(two) else two
+    ends = [(two, two + 1)]
+    for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+        own = slice(start, start + size)
+        if (group[own] != group[start]).any():
+            a, b = _forest(signs[own], group[own], block[own], low[start] != high[start])
+            ends.append((a + start, b + start))
+    a, b = (np.concatenate(side).astype(np.int64) for side in zip(*ends, strict=True))
+    return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
+
+
+def _forest(signs: np.ndarray, group: np.ndarray, block: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as places, of the candidates between different groups; ``across`` between the two blocks only."""
+    n = len(group)
     agree = np.zeros((n, n), np.uint8)
     for j in range(SAMPLES):
         agree += signs[:, j][:, None] == signs[:, j][None, :]
-    if low != high:
+    if across:
         agree[block[:, None] == block[None, :]] = 0
     agree[agree < AGREE] = 0
     found_a, found_b = [], []
@@ -320,7 +344,7 @@ def _propose(table: pa.Table) -> pa.Table:
         label = joined(links)
     a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
     b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-    return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
+    return a, b
 
 
 def _proposals(members: DataFrame, signs: DataFrame, block: int, across: bool) -> DataFrame:
@@ -328,7 +352,11 @@ def _proposals(members: DataFrame, signs: DataFrame, block: int, across: bool) -
     dealt = block_pairs(members, "band", "rep", block)
     if not across:
         dealt = dealt.filter(F.col("low") == F.col("high"))
-    return dealt.join(signs, "rep").groupBy("band", "low", "high").applyInArrow(_propose, "a long, b long").distinct()
+    # blocks are small as a rule: a task takes many of them at a time, a large band's blocks apart
+    parcels = max(1, math.ceil(members.count() / PARCEL))
+    parcel = F.pmod(F.xxhash64("band", "low", "high"), F.lit(parcels))
+    met = dealt.join(signs.select("rep", "samples"), "rep").select(parcel.alias("parcel"), "band", "low", "high", "block", "rep", "component", "samples")
+    return met.groupBy("parcel").applyInArrow(_propose_all, "a long, b long").distinct()
 
 
 def all_similarities(texts: pa.Array, idf) -> np.ndarray:
