@@ -19,7 +19,7 @@ from segprofile.catalog.bindings import (
     table,
 )
 from segprofile.functions.staging import stage
-from segprofile.operators import clustering, crosstab, distributions, filters, metrics, profiles
+from segprofile.operators import clustering, crosstab, distributions, filters, metrics, nearest, profiles
 from segprofile.operators import reduction, similarity
 from segprofile.sources.readers import column_roles as roles_of
 from segprofile.sources.readers import relabel as relabelled
@@ -633,6 +633,16 @@ def cluster_summary(spark, d):
     )
 
 
+@query
+def similar_rows_many_profiles(spark, d):
+    """For every brand and type of part, thousands of profiles, the ten parts nearest to it; no row meets every profile."""
+    parts = stage(sections(spark, d))
+    index = nearest.PivotIndex(parts, SECTIONS.key, SECTIONS.numeric, SECTIONS.categorical)
+    means = parts.groupBy("p_brand", "p_type").agg(*[F.avg(c).alias(c) for c in SECTIONS.numeric])
+    near = index.nearest(means.withColumn("kind", F.concat_ws("/", "p_brand", "p_type")), "kind")
+    return rounded(near.select("profile_id", "rank", "p_partkey", "similarity"))
+
+
 @query
 def similar_rows_by_cluster(spark, d):
     parts = stage(sections(spark, d))
