@@ -432,6 +432,71 @@ ORACLES["cluster_summary"] = f"""
 WITH {_SECTIONS}
 SELECT CAST(5 AS BIGINT) AS n_clusters, {_each(_SEC_NUM, "round(avg({c}), 6) AS {c}")},
        CAST(5 AS BIGINT) AS n_types, CAST(5 AS BIGINT) AS n_brands FROM sections"""
+_GIVEN = f"{_SECTIONS}, given AS (SELECT *, CAST(p_size % 5 AS INTEGER) AS cluster FROM sections)"
+_SCALED = _each(_SEC_NUM, "({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS z_{c}")
+ORACLES["cluster_points_checked"] = f"""
+WITH {_SECTIONS}, scaled AS (SELECT p_partkey, {_SCALED} FROM sections)
+SELECT p_partkey, true AS known_cluster, true AS inside, round({_each(_SEC_NUM, "z_{c} * z_{c}", " + ")}, 6) AS squared FROM scaled"""
+ORACLES["cluster_subset_view"] = f"""
+WITH {_GIVEN}, scaled AS (SELECT p_partkey, cluster, p_type, {_SCALED} FROM given)
+SELECT p_partkey, cluster, p_type, {_each([f"z_{c}" for c in _SEC_NUM], "round({c}, 6) + 0.0 AS {c}")} FROM scaled WHERE cluster = 2"""
+_GIVEN_SUMMARY = f"""summary AS (SELECT * FROM
+  (SELECT cluster, {_each(_SEC_NUM, "avg({c}) AS {c}")} FROM given GROUP BY cluster)
+  JOIN {_mode("given", "cluster", "p_type", "p_partkey")} t USING (cluster)
+  JOIN {_mode("given", "cluster", "p_brand", "p_partkey")} b USING (cluster))"""
+ORACLES["cluster_summary_given"] = f"""
+WITH {_GIVEN}, {_GIVEN_SUMMARY}
+SELECT cluster, {_each(_SEC_NUM, "round({c}, 6) + 0.0 AS {c}")}, p_type, p_brand FROM summary"""
+_GIVEN_SCORED = f"""{_GIVEN}, {_GIVEN_SUMMARY}, prof AS (SELECT CAST(cluster AS VARCHAR) AS profile_id, * FROM summary),
+{_scored("given", "r.p_partkey", _SEC_NUM, _SEC_CAT)}"""
+_TEN = """SELECT profile_id, CAST(rank AS INTEGER) AS rank, p_partkey, round(similarity, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY similarity DESC, p_partkey) AS rank FROM scored) WHERE rank <= 10"""
+ORACLES["similar_rows_given_clusters"] = f"WITH {_GIVEN_SCORED} {_TEN}"
+ORACLES["clusters_missing_modes"] = f"WITH {_GIVEN} SELECT DISTINCT cluster FROM given WHERE cluster IN (1, 3)"
+
+
+def _report_long(by: str, profiles: str, source: str, modes, counts) -> str:
+    """The long frame of a committed report: ``counts`` gives the number of rows of each table that is not empty."""
+    manifest = " UNION ALL ".join(
+        f"SELECT 'manifest', CAST(NULL AS VARCHAR), '{n}', CAST(({c}) AS DOUBLE), CAST(NULL AS VARCHAR) WHERE ({c}) > 0" for n, c in counts
+    )
+    means = " UNION ALL ".join(
+        f"SELECT 'means', CAST({by} AS VARCHAR), '{c}', round(avg({c}), 6) + 0.0, CAST(NULL AS VARCHAR) FROM {source} GROUP BY {by}" for c in _SEC_NUM
+    )
+    found = " UNION ALL ".join(f"SELECT 'modes', CAST({by} AS VARCHAR), '{c}', CAST(NULL AS DOUBLE), {c} FROM {profiles}" for c in modes)
+    return f"""SELECT CAST(NULL AS VARCHAR) AS frame, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS feature,
+  CAST(NULL AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text WHERE false
+UNION ALL {manifest} UNION ALL {means} UNION ALL {found}
+UNION ALL SELECT 'nearest_rows', profile_id, CAST(rank AS VARCHAR), similarity, CAST(p_partkey AS VARCHAR) FROM ({_TEN})"""
+
+
+ORACLES["category_report_long"] = f"""
+WITH {_SECTIONS}, {_section_profiles()}, {_scored("sections", "r.p_partkey", _SEC_NUM, _SEC_CAT)}
+""" + _report_long(
+    "p_type",
+    "prof",
+    "sections",
+    ("p_brand",),
+    (
+        ("means", "SELECT count(DISTINCT p_type) FROM sections"),
+        ("modes", "SELECT count(DISTINCT p_type) FROM sections"),
+        ("value_counts", "SELECT count(DISTINCT (p_type, p_brand)) + count(DISTINCT p_type) FROM sections"),
+        ("nearest_rows", f"SELECT count(*) FROM ({_TEN})"),
+    ),
+)
+_PER_CLUSTER = "SELECT count(DISTINCT cluster) FROM given"
+ORACLES["cluster_report_long"] = f"WITH {_GIVEN_SCORED} " + _report_long(
+    "cluster",
+    "summary",
+    "given",
+    _SEC_CAT,
+    (
+        ("rows", "SELECT count(*) FROM given"),
+        *[(n, _PER_CLUSTER) for n in ("sizes", "means", "modes", "summary")],
+        ("points", "SELECT count(*) FROM given"),
+        ("nearest_rows", f"SELECT count(*) FROM ({_TEN})"),
+    ),
+)
 ORACLES["similar_rows_by_cluster"] = f"""
 WITH {_SECTIONS}
 SELECT CAST(5 AS BIGINT) AS n_profiles, 5 * least(10, count(*)) AS n_rows,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,9 +20,11 @@ from segprofile.catalog.bindings import (
     sections,
     table,
 )
-from segprofile.functions.staging import stage
+from segprofile.functions.staging import stage, staging_root
 from segprofile.operators import clustering, crosstab, distributions, filters, metrics, nearest, profiles
 from segprofile.operators import reduction, similarity
+from segprofile.plans import analyses
+from segprofile.sources import cluster_view, report
 from segprofile.sources.readers import column_roles as roles_of
 from segprofile.sources.readers import relabel as relabelled
 from segprofile.sources.readers import relabel_from
@@ -662,6 +666,104 @@ def similar_rows_by_cluster(spark, d):
     )
 
 
+def _given(spark, d):
+    """Parts with a label that is given, as clusters whose every figure can be stated."""
+    return stage(sections(spark, d).withColumn("cluster", (F.col("p_size") % 5).cast("int")))
+
+
+@query
+def cluster_points_checked(spark, d):
+    """Every part once: a cluster of five, and a place on the axes no farther out than the part's scaled features."""
+    rows = stage(_clusters(spark, d).rows)
+    view = cluster_view.cluster_view(rows, SECTIONS.numeric)
+    along = sum((F.col(f"pc{i}") * F.col(f"pc{i}") for i in (1, 2, 3)), F.lit(0.0))
+    whole = sum((F.col(f"z_{c}") * F.col(f"z_{c}") for c in SECTIONS.numeric), F.lit(0.0))
+    return view.select(
+        "p_partkey",
+        F.col("cluster").between(0, 4).alias("known_cluster"),
+        (along <= whole + 1e-9).alias("inside"),
+        F.round(whole, 6).alias("squared"),
+    )
+
+
+@query
+def cluster_subset_view(spark, d):
+    """The scaled features of one given cluster, read from its folder of the written view."""
+    path = f"{staging_root(spark).rstrip('/')}/segprofile-view-{uuid.uuid4().hex}"
+    cluster_view.write_cluster_view(cluster_view.cluster_view(_given(spark, d), SECTIONS.numeric), path)
+    subset = cluster_view.read_clusters(spark, path, [2])
+    return rounded(subset.select("p_partkey", "cluster", "p_type", *[f"z_{c}" for c in SECTIONS.numeric]))
+
+
+@query
+def cluster_summary_given(spark, d):
+    """Means and first-seen modes of given clusters."""
+    rows = _given(spark, d)
+    return rounded(clustering.cluster_summary(rows, SECTIONS.numeric, SECTIONS.categorical, SECTIONS.key))
+
+
+@query
+def similar_rows_given_clusters(spark, d):
+    """The ten parts nearest to the summary of every given cluster."""
+    rows = _given(spark, d)
+    summary = clustering.cluster_summary(rows, SECTIONS.numeric, SECTIONS.categorical, SECTIONS.key)
+    near = similarity.nearest_rows(rows, summary, "cluster", SECTIONS.key, SECTIONS.numeric, SECTIONS.categorical)
+    return rounded(near.select("profile_id", "rank", "p_partkey", "similarity"))
+
+
+@query
+def clusters_missing_modes(spark, d):
+    """Clusters that have means and, as they miss their categories, no modes."""
+    known = F.col("cluster").isin(1, 3)
+    rows = stage(_given(spark, d).withColumns({c: F.when(~known, F.col(c)) for c in SECTIONS.categorical}))
+    means = profiles.category_mean(rows, "cluster", SECTIONS.numeric)
+    complete = filters.drop_missing(rows, SECTIONS.categorical)
+    modes = profiles.mode_first_seen(complete, "cluster", SECTIONS.categorical, SECTIONS.key)
+    return clustering.clusters_without_modes(means, modes)
+
+
+def _committed_long(spark, frames: dict[str, DataFrame], by: str) -> DataFrame:
+    """A report committed and read back: counts of the manifest, means, modes, and nearest rows, in one long frame."""
+    path = f"{staging_root(spark).rstrip('/')}/segprofile-report-{uuid.uuid4().hex}"
+    report.commit_report(frames, path, skip_empty=True)
+    none = F.lit(None).cast("string")
+
+    def long(name: str, table: DataFrame, category, feature, number, text) -> DataFrame:
+        return table.select(
+            F.lit(name).alias("frame"), category.cast("string").alias("category"), feature.alias("feature"),
+            number.cast("double").alias("number"), text.alias("text"),
+        )
+
+    read = {name: report.read_committed(spark, path, name) for name in ("means", "modes", "nearest_rows")}
+    means = read["means"].unpivot([by], [F.col(c).cast("double").alias(c) for c in SECTIONS.numeric], "feature", "number")
+    kinds = [c for c in SECTIONS.categorical if c != by]
+    modes = read["modes"].unpivot([by], kinds, "feature", "text")
+    near = read["nearest_rows"]
+    tables = report.committed_tables(spark, path)
+    null = F.lit(None).cast("double")
+    parts = [
+        long("manifest", tables, none, F.col("name"), F.col("n_rows"), none),
+        long("means", means, F.col(by), F.col("feature"), F.round("number", 6) + F.lit(0.0), none),
+        long("modes", modes, F.col(by), F.col("feature"), null, F.col("text")),
+        long("nearest_rows", near, F.col("profile_id"), F.col("rank").cast("string"), F.round("similarity", 6), F.col("p_partkey").cast("string")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query
+def category_report_long(spark, d):
+    """The report per type of part, written, committed and read back."""
+    found = analyses.category_report(stage(sections(spark, d)), SECTIONS)
+    return _committed_long(spark, {n: found[n] for n in ("means", "modes", "value_counts", "nearest_rows")}, "p_type")
+
+
+@query
+def cluster_report_long(spark, d):
+    """The report per given cluster, written, committed and read back; frames without rows are left out."""
+    rows = _given(spark, d)
+    return _committed_long(spark, analyses.labelled_report(rows, rows.drop("cluster"), SECTIONS), "cluster")
+
+
 @query
 def feature_covariance(spark, d):
     return rounded(reduction.feature_covariance(table(spark, d, "lineitem"), LINES.numeric), 4)

@@ -1,6 +1,7 @@
 """The three analyses: filter and match, profile per category, profile per cluster.
 
-Each returns named frames, ready for ``write_report``.
+Each returns named frames, ready for ``write_report`` or ``commit_report``. Rows that several frames read are
+written once.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segprofile.operators.clustering import cluster_rows, cluster_sizes, cluster_summary
+from segprofile.functions.staging import stage
+from segprofile.operators.clustering import cluster_rows, cluster_sizes, clusters_without_modes
 from segprofile.operators.distributions import auto_bins, box_stats, histogram, kde_curve
 from segprofile.operators.crosstab import category_value_counts, crosstab_pct
 from segprofile.operators.filters import profile_rows, select_rows
@@ -71,7 +73,7 @@ def category_report(
     kept = filters.included(spec)
     by = spec.group_key
     categorical = list(dict.fromkeys([by, *kept.categorical]))
-    rows = profile_rows(df, spec, filters)
+    rows = stage(profile_rows(df, spec, filters))
     profiles = profile_table(rows, by, kept.numeric, kept.categorical)
     return {
         "means": category_mean(rows, by, kept.numeric).orderBy(f"`{by}`"),
@@ -98,21 +100,46 @@ def cluster_report(
     """Clusters of the matching rows, their summaries, a 3-axis view and the nearest real rows."""
     filters = filters or FilterSpec()
     kept = filters.included(spec)
-    found = cluster_rows(profile_rows(df, spec, filters), kept.numeric, k, missing=missing)
-    rows = found.rows
-    report = {
-        "rows": rows,
-        "sizes": cluster_sizes(rows),
-        "means": category_mean(rows, "cluster", kept.numeric),
-    }
-    if kept.categorical:
-        report["modes"] = mode_first_seen(rows, "cluster", kept.categorical, spec.key)
+    found = cluster_rows(stage(profile_rows(df, spec, filters)), kept.numeric, k, missing=missing)
     if found.k == 0:
-        return report
-    summary = cluster_summary(rows, kept.numeric, kept.categorical, spec.key)
+        return _sizes_and_means(found.rows, kept, "cluster", spec)
+    return labelled_report(found.rows, df, spec, filters, "cluster", nearest)
+
+
+def labelled_report(
+    rows: DataFrame,
+    df: DataFrame,
+    spec: FeatureSpec,
+    filters: FilterSpec | None = None,
+    label: str = "cluster",
+    nearest: int = 10,
+) -> dict[str, DataFrame]:
+    """The frames of ``cluster_report`` for rows that have a label already, whoever gave it.
+
+    Rows and modes are written once and shared by all frames. ``without_modes`` names the
+    clusters that have means and no modes.
+    """
+    kept = (filters or FilterSpec()).included(spec)
+    rows = stage(rows)
+    report = _sizes_and_means(rows, kept, label, spec)
+    modes = report.get("modes")
+    summary = profile_table(rows, label, kept.numeric, kept.categorical, modes)
     report["summary"] = summary
-    report["points"] = principal_components(rows, kept.numeric, [*spec.key, "cluster"]).rows
+    if modes is not None:
+        report["without_modes"] = clusters_without_modes(report["means"], modes, label)
+    report["points"] = principal_components(rows, kept.numeric, [*spec.key, label]).rows
     report["nearest_rows"] = nearest_rows(
-        df, summary, "cluster", spec.key, kept.numeric, kept.categorical, nearest, spec.descriptive
+        df, summary, label, spec.key, kept.numeric, kept.categorical, nearest, spec.descriptive
     )
     return report
+
+
+def _sizes_and_means(rows: DataFrame, kept: FeatureSpec, label: str, spec: FeatureSpec) -> dict[str, DataFrame]:
+    report = {
+        "rows": rows,
+        "sizes": cluster_sizes(rows, label),
+        "means": category_mean(rows, label, kept.numeric),
+    }
+    if kept.categorical:
+        report["modes"] = stage(mode_first_seen(rows, label, kept.categorical, spec.key))
+    return report
