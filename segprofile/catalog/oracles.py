@@ -150,6 +150,11 @@ SELECT total_n, match_n, {_r("100.0 * match_n / total_n", "pct_n")},
        round(total_price, 2) AS total_price, round(match_price, 2) AS match_price,
        {_r("100.0 * match_price / total_price", "pct_price")}
 FROM totals"""
+ORACLES["match_summary_observed"] = ORACLES["match_summary"].replace("FROM totals", ", match_n AS n_written FROM totals")
+ORACLES["bad_values_observed"] = f"""
+WITH {_GAPS}
+SELECT 'o_totalprice' AS feature, count(*) - count(o_totalprice) AS n_null, CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_infinite FROM gaps
+UNION ALL SELECT 'o_custkey', count(*) - count(o_custkey), 0, 0 FROM gaps"""
 ORACLES["match_split"] = f"WITH {_TOTALS} " + " UNION ALL ".join(
     f"""SELECT '{measure}' AS measure, '{part}' AS part,
         round(CAST({amount} AS DOUBLE), 2) + 0.0 AS amount, {_r(f"100.0 * ({amount}) / total_{m}", "pct")} FROM totals"""

@@ -21,7 +21,7 @@ from segprofile.catalog.bindings import (
     table,
 )
 from segprofile.functions.staging import stage, staging_root
-from segprofile.operators import clustering, crosstab, distributions, filters, metrics, nearest, profiles
+from segprofile.operators import clustering, crosstab, distributions, filters, metrics, nearest, observed, profiles
 from segprofile.operators import reduction, similarity
 from segprofile.plans import analyses
 from segprofile.sources import cluster_view, report
@@ -243,6 +243,25 @@ def match_summary(spark, d):
     return rounded(rounded(found, 2, ["total_price", "match_price"]))
 
 
+@query
+def match_summary_observed(spark, d):
+    """The same figures, seen while the matching rows are written, and how many rows were written."""
+    lines = table(spark, d, "lineitem")
+    path = f"{staging_root(spark).rstrip('/')}/segprofile-matching-{uuid.uuid4().hex}"
+    found = observed.write_matching(lines, _MATCH.predicate(lines, LINES), LINE_KEY, path, LINE_MEASURES)
+    written = spark.read.parquet(path).agg(F.count("*")).scalar()
+    return rounded(rounded(found.summary(), 2, ["total_price", "match_price"])).withColumn("n_written", written)
+
+
+@query
+def bad_values_observed(spark, d):
+    """Missing and impossible values of all orders, counted while some of them are written."""
+    orders = nullable_orders(spark, d)
+    path = f"{staging_root(spark).rstrip('/')}/segprofile-matching-{uuid.uuid4().hex}"
+    dear = F.col("o_totalprice") >= 100000
+    return observed.write_matching(orders, dear, ["o_orderkey"], path, {}, ["o_totalprice", "o_custkey"]).bad_values()
+
+
 @query
 def match_split(spark, d):
     lines = table(spark, d, "lineitem")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segprofile.functions.columns import (
@@ -90,8 +90,8 @@ def categorical_domains(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return unpivot(df, [], columns, "string").distinct()
 
 
-def bad_value_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing, NaN and infinite values per column in one pass."""
+def bad_value_counts(columns: Sequence[str]) -> list[Column]:
+    """Missing, NaN and infinite values per column, as aggregates."""
 
     def counts(i: int, c: str):
         x = col(c).cast("double")
@@ -99,7 +99,16 @@ def bad_value_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         yield F.count_if(F.isnan(x)).alias(f"nan{i}")
         yield F.count_if(F.abs(x) == F.lit(float("inf"))).alias(f"inf{i}")
 
-    wide = df.agg(*[e for i, c in enumerate(columns) for e in counts(i, c)])
+    return [e for i, c in enumerate(columns) for e in counts(i, c)]
+
+
+def bad_value_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Missing, NaN and infinite values per column in one pass."""
+    return bad_value_rows(df.agg(*bad_value_counts(columns)), columns)
+
+
+def bad_value_rows(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row per column from a row of ``bad_value_counts``."""
     return rows_from_columns(
         wide,
         [

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from segprofile.functions.columns import double, rows_from_columns, share
 
 
-def _totals(df: DataFrame, predicate: Column, measures: Mapping[str, str]) -> DataFrame:
-    """One row of totals and matching totals from one pass over the table."""
+def total_sums(predicate: Column, measures: Mapping[str, str]) -> list[Column]:
+    """Totals and matching totals, as aggregates of one pass over the table."""
     matching = F.coalesce(predicate, F.lit(False))
     sums = [F.count("*").alias("total_n"), F.count_if(matching).alias("match_n")]
     for name, column in measures.items():
@@ -19,7 +19,11 @@ def _totals(df: DataFrame, predicate: Column, measures: Mapping[str, str]) -> Da
         sums.append(
             F.coalesce(F.sum(F.when(matching, double(column))), F.lit(0.0)).alias(f"match_{name}")
         )
-    return df.agg(*sums)
+    return sums
+
+
+def _totals(df: DataFrame, predicate: Column, measures: Mapping[str, str]) -> DataFrame:
+    return df.agg(*total_sums(predicate, measures))
 
 
 def match_summary(df: DataFrame, predicate: Column, measures: Mapping[str, str]) -> DataFrame:
@@ -28,8 +32,13 @@ def match_summary(df: DataFrame, predicate: Column, measures: Mapping[str, str])
     ``measures`` maps the name used in the output to the column summed. The
     percentage is null where the total is zero.
     """
+    return summarised(_totals(df, predicate, measures), measures)
+
+
+def summarised(totals: DataFrame, measures: Mapping[str, str]) -> DataFrame:
+    """The row of ``match_summary`` from a row of totals."""
     names = ["n", *measures]
-    return _totals(df, predicate, measures).select(
+    return totals.select(
         *[
             c
             for n in names
