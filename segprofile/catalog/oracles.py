@@ -400,7 +400,7 @@ WITH {_SECTIONS}, prof AS (SELECT concat_ws('/', p_brand, p_type) AS profile_id,
   {_each(_SEC_NUM, "avg({c}) AS {c}")} FROM sections GROUP BY p_brand, p_type),
 {_scored("sections", "r.p_partkey", _SEC_NUM, _SEC_CAT)}
 SELECT profile_id, CAST(rank AS INTEGER) AS rank, p_partkey, round(similarity, 6) AS similarity
-FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY similarity DESC, p_partkey) AS rank FROM scored)
+FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY round(similarity, 12) DESC, p_partkey) AS rank FROM scored)
 WHERE rank <= 10"""
 _LINE_FEATURES = (*_LINE_NUM, "l_returnflag", "l_linestatus")
 _LINE_KEY_R = ", ".join(f"r.{c.strip()}" for c in _LINE.split(","))

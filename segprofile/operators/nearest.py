@@ -30,6 +30,7 @@ from segprofile.operators.similarity import _scales
 
 PIVOTS = 64
 _SLACK = 1e-9  # of the scales; rounding must not close a cell
+_TIE_PLACES = 12  # scores that agree so far are ties: the mean of two rows is as near to the one as to the other
 
 
 @dataclass(frozen=True)
@@ -160,7 +161,7 @@ class PivotIndex:
         return cells.join(floors, "profile_id", "left").where(F.coalesce(F.col("best") >= F.col("floor"), F.lit(True)))
 
     def nearest(self, profiles: DataFrame, profile_id: str, k: int = 10) -> DataFrame:
-        """(profile_id, rank, key..., label..., similarity, features...) of the k best rows of every profile, ties by key."""
+        """(profile_id, rank, key..., label..., similarity, features...) of the k best rows of every profile, ties (to 12 places) by key."""
         f = self.features
         open_ = stage(self.opened(profiles, profile_id, k))
         rows = self.rows.withColumn("cell", F.xxhash64("pivot", *f.v))
@@ -174,7 +175,7 @@ class PivotIndex:
         d = self._distance([F.col(x) for x in f.x], self._means())
         scored = met.select("profile_id", "floor", "row", f.score(d, F.col("max_d"), total).alias("similarity"))
         near = scored.where(F.coalesce(F.col("similarity") >= F.col("floor") - _SLACK, F.lit(True)))
-        order = W.partitionBy("profile_id").orderBy(F.desc("similarity"), *[F.col("row").getField(c) for c in self.key])
+        order = W.partitionBy("profile_id").orderBy(F.round("similarity", _TIE_PLACES).desc(), *[F.col("row").getField(c) for c in self.key])
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         first = list(dict.fromkeys([*self.key, *self.label]))
         rest = [c for c in self.names if c not in first]

@@ -55,6 +55,13 @@ def test_fewer_rows_than_asked_and_ties(make):
     assert got[0].asDict().keys() == {"profile_id", "rank", "id", "grp", "similarity", "x", "y", "c1", "c2"}
 
 
+def test_rounding_decides_no_tie(make):
+    rows = make([(i, "g", "a", "b", 0.1 * i, 0.7 * i, 1.0) for i in (9, 4)] + [(1, "g", "a", "b", 50.0, 1.0, 1.0)])
+    middle = make([(0, "g", "a", "b", (0.1 * 9 + 0.1 * 4) / 2, (0.7 * 9 + 0.7 * 4) / 2, 1.0)]).withColumn("p", F.lit("one"))
+    got = PivotIndex(rows, ["id"], ("x", "y"), ("c1",)).nearest(middle, "p", 2).collect()
+    assert sorted((r.rank, r.id) for r in got) == [(1, 4), (2, 9)]
+
+
 def test_empty_tables(make):
     some = make([(1, "g", "a", "b", 1.0, 1.0, 1.0)]).withColumn("p", F.lit("one"))
     empty = make([])
