@@ -87,15 +87,26 @@ def test_forward_equals_the_sum_over_all_paths():
 
 def test_every_round_is_at_least_as_likely():
     rng = np.random.default_rng(1)
-    texts = [np.where(rng.random(n) < 0.9, rng.integers(0, 4) % 2 * 3 + rng.integers(0, 3, n), rng.integers(0, 6, n)).astype("<u2") for n in rng.integers(2, 40, 60)]
-    share = np.full(6, 1 / 6)
-    model, last = H.Model.seeded(share, texts[:2], 2), -np.inf
+    texts = [np.where(rng.random(n) < 0.9, rng.integers(0, 4) % 2 * 3 + rng.integers(0, 3, n), rng.integers(0, 6, n)).astype("<u4") for n in rng.integers(2, 40, 60)]
+    emit = np.stack([np.bincount(x, minlength=6) + 0.5 for x in texts[:2]])
+    start, move = np.full(2, 0.5), np.array([[0.9, 0.1], [0.1, 0.9]])
+    model, last = H.Model(start, start, move, emit / emit.sum(axis=1, keepdims=True)), -np.inf
     for _ in range(8):
         now = model.forward(texts).sum()
         assert now >= last - 1e-6
-        sums, last = model.expected(texts, run=1000), now
-        model = model.improved(sums, share, prior=1e-9)
-    assert sums[:2].sum() == pytest.approx(60) and sums[8:].sum() == pytest.approx(sum(map(len, texts)))
+        (starts, later, moves, emitted), last = model.expected(texts, run=1000), now
+        model = H.Model(starts / starts.sum(), start, moves / moves.sum(axis=1, keepdims=True), (emitted / emitted.sum(axis=0)).T)
+    assert starts.sum() == pytest.approx(60) and emitted.sum() == pytest.approx(sum(map(len, texts))) and not later.any()
+
+
+@pytest.mark.parametrize("run", [1, 3, 4, 1000])
+def test_every_move_and_every_token_counts_once_whatever_the_runs(run):
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 5, n).astype("<u4") for n in (1, 4, 5, 8, 9, 30)]
+    model = H.Model(np.full(2, 0.5), np.full(2, 0.5), np.array([[0.7, 0.3], [0.2, 0.8]]), rng.dirichlet(np.ones(5), 2))
+    starts, _, moves, emitted = model.expected(texts, run)
+    assert starts.sum() == pytest.approx(len(texts)) and moves.sum() == pytest.approx(sum(len(x) - 1 for x in texts))
+    assert emitted.sum(axis=1) == pytest.approx(np.bincount(np.concatenate(texts), minlength=5))
 
 
 TEXTS = ["the cat sat", "The dog sat down", "a cat and a dog", "", None, "zebra quagga cat", "the the the"] * 3
@@ -109,7 +120,7 @@ def test_scores_by_definition(spark, documents):
         if zlib.crc32(str(i).encode()) % 10:
             train.update([*(t or "").lower().split(), ""])
     n, v = sum(train.values()), len(train)
-    got = {r.doc_id: r for r in H.score_texts(spark, docs, held, words=4, states=2).collect()}
+    got = {r.doc_id: r for r in H.score_texts(spark, docs, held, states=2, rounds=1, least=2, block=8).collect()}
     for i, t in enumerate(TEXTS):
         tokens = [*(t or "").lower().split(), ""]
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
@@ -118,27 +129,45 @@ def test_scores_by_definition(spark, documents):
         assert got[i].score < 0
 
 
-def test_a_state_s_word_probabilities_add_up_to_one(spark):
-    words = [(f"w{i}".encode(), 1 + 100 // (i + 1)) for i in range(60)]
-    lexicon = H.Lexicon(spark.createDataFrame([(bytearray(w), c) for w, c in words], "word binary, c long"), words=5, groups=8)
-    assert len(lexicon.frequent) <= 5 and lexicon.tokens == sum(c for _, c in words)
-    emit = np.random.default_rng(0).dirichlet(np.ones(lexicon.symbols))
-    first = len(lexicon.frequent)
-    total = emit[:first].sum()
-    for w, c in words:
-        if w not in lexicon.frequent:
-            g = H.group_of(w, 8)
-            total += emit[first + g] * (c + 0.1) / lexicon.group_sums[g]
-    total += sum(emit[first + g] * 0.1 / lexicon.group_sums[g] for g in range(8))  # unseen words
-    assert total == pytest.approx(1.0)
+def trained(spark, docs, least, states=2):
+    """The words' table (id, word, c, e0, e1), the states and the lexicon."""
+    texts = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
+    rows = H.encoded(texts, block=64)
+    lexicon = H.Lexicon(rows, least)
+    table, model = H.train(spark, texts, H.Corpus(rows, lexicon), lexicon, states, rounds=1)
+    return lexicon.table.join(table.drop("c"), "id", "left").na.fill(0.0).collect(), model, lexicon
+
+
+def test_a_state_s_word_probabilities_add_up_to_one(spark, documents):
+    docs = documents([(i, " ".join(f"w{j}" for j in range(60) if (i + j) % (j // 3 + 1) == 0), "en", "a") for i in range(20)])
+    words, model, lexicon = trained(spark, docs, least=4)
+    groups = {r.word: r.g for r in lexicon.table.select("word", H._group(F.col("word")).alias("g")).collect()}
+    total = np.zeros(2)
+    for r in words:
+        n = np.array([r.e0, r.e1]) if r.c >= 4 else model.groups[groups[r.word]]
+        total += model.weights(np.array([r.c]), n[None])[0] / model.norm
+        assert r.c < 4 or n.sum() == pytest.approx(r.c, rel=1e-5)
+    total += (model.weights(np.zeros(H.GROUPS), model.groups) / model.norm).sum(axis=0)  # unseen words
+    assert total == pytest.approx(1.0) and lexicon.tokens == sum(r.c for r in words)
+
+
+def test_the_vocabulary_with_evidence_has_no_end(spark, documents):
+    """The 60,001st word is told apart by the company it keeps, as all are."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{j}" for j in rng.permutation(range(i // 2 % 10, 60_001, 10))), "en", "a") for i in range(100)]
+    words, model, _ = trained(spark, documents(rows), least=5)
+    found = {bytes(r.word).decode(): np.array([r.e0, r.e1]) for r in words}
+    assert len(found) == 120_003
+    lean = np.array([int(np.argmax(n)) for w, n in found.items() if w.startswith("a")]), np.array([int(np.argmax(n)) for w, n in found.items() if w.startswith("b")])
+    assert abs(lean[0].mean() - lean[1].mean()) > 0.9 and found["a60000"].sum() == pytest.approx(5, abs=0.01)
 
 
 def test_scores_of_odd_rows(spark, odd, none):
     held = remainder(F.col("doc_id"), 10) == 0
-    rows = H.score_texts(spark, odd, held, words=50, states=2).collect()
+    rows = H.score_texts(spark, odd, held, states=2, rounds=1).collect()
     assert len(rows) == 12 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 3, 8)} == {1}
-    everything = H.score_texts(spark, odd, F.lit(True), words=50, states=2).collect()
+    everything = H.score_texts(spark, odd, F.lit(True), states=2).collect()
     assert {r.train_tokens for r in everything} == {0} and {r.n_known for r in everything} == {0}
     assert H.score_texts(spark, none, held, states=2).count() == 0
 
