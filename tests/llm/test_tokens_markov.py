@@ -154,7 +154,7 @@ def test_a_state_s_word_probabilities_add_up_to_one(spark, documents):
 def test_the_vocabulary_with_evidence_has_no_end(spark, documents):
     """The 60,001st word is told apart by the company it keeps, as all are."""
     rng = np.random.default_rng(3)
-    rows = [(i, " ".join(f"{'ab'[i % 2]}{j}" for j in rng.permutation(range(i // 2 % 10, 60_001, 10))), "en", "a") for i in range(100)]
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{j}" for j in rng.permutation(range(i // 2 % 25, 60_001, 25))), "en", "a") for i in range(250)]
     words, model, _ = trained(spark, documents(rows), least=5)
     found = {bytes(r.word).decode(): np.array([r.e0, r.e1]) for r in words}
     assert len(found) == 120_003
