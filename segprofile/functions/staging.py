@@ -44,10 +44,22 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the one written table that ``table`` reads, once nothing needs it any more."""
+    name = table.inputFiles()[0].rsplit("/", 2)[1]
+    path = next(p for p in _written if p.rsplit("/", 1)[1] == name)
+    _written.remove(path)
+    _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Delete the tables written so far, once no result that reads them is needed any more."""
     n = len(_written)
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
     return n
