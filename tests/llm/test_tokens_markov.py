@@ -154,7 +154,12 @@ def test_a_state_s_word_probabilities_add_up_to_one(spark, documents):
 def test_the_vocabulary_with_evidence_has_no_end(spark, documents):
     """The 60,001st word is told apart by the company it keeps, as all are."""
     rng = np.random.default_rng(3)
-    rows = [(i, " ".join(f"{'ab'[i % 2]}{j}" for j in rng.permutation(range(i // 2 % 25, 60_001, 25))), "en", "a") for i in range(250)]
+    # a word but the first 200 of its side is in five texts; the first 200 are in every text of the side, its company
+    company = [f"{j}" for j in range(200)] * 6
+    rows = []
+    for i in range(250):
+        own = [*company, *map(str, range(200 + i // 2 % 25, 60_001, 25))]
+        rows.append((i, " ".join("ab"[i % 2] + own[j] for j in rng.permutation(len(own))), "en", "a"))
     words, model, _ = trained(spark, documents(rows), least=5)
     found = {bytes(r.word).decode(): np.array([r.e0, r.e1]) for r in words}
     assert len(found) == 120_003
