@@ -12,15 +12,17 @@ unseen words of a group together are one word with c = 0. So the vocabulary is t
 large; every state's probabilities add up to one; and a word that tells nothing of the state is as likely as its
 smoothed frequency.
 
-Texts lie in blocks of some ``BLOCK`` tokens, each with a dictionary of its own words. What the corpus says of
-words (counts, expected emissions) are rows of written tables, joined to the dictionaries by word; no task and
-no broadcast holds the vocabulary.
-
-Baum-Welch: per block, expected starts, moves and emissions are added up and leave as one row per word; sums over
-blocks give the next model. The first ``WARM_ROUNDS`` read a bounded sample of texts (a starting point
-only), the last ``ROUNDS`` read every training text. Training cuts texts into runs of ``RUN`` tokens that share the
-token at the cut, so every move and every emission counts once. Scoring runs the scaled forward recursion over the
-whole text, many texts side by side.
+Texts lie in blocks of some ``BLOCK`` tokens, each with a dictionary of its own words, which is split into buckets by
+hash. What the corpus says of words (counts, expected emissions) is added up per bucket, over the blocks, and goes back
+to the blocks that hold the words: rows are a block's words of one bucket, packed. Buckets are as many as the bytes of
+text ask for (``BUCKET``), so no task and no broadcast holds the vocabulary.
+
+Baum-Welch: per block, expected starts, moves and emissions are added up and leave as one row per bucket; sums over
+blocks give the next model. Every round reads every training text. The first model leans, state by state, to the words
+that keep company with one of ``STATES`` anchors: of the ``TOP`` most frequent words those that share the fewest runs,
+counted over all training texts. Training cuts texts into runs of ``RUN`` tokens that share the token at the cut, so
+every move and every emission counts once. Scoring runs the scaled forward recursion over the whole text, many texts
+side by side.
 
 Edge cases: null or empty text is the end alone; an empty training set leaves every word unseen; repeated
 rows are scored alike and count as often as they occur; other columns are not looked at.
@@ -28,8 +30,8 @@ rows are scored alike and count as often as they occur; other columns are not lo
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,17 +45,24 @@ from segprofile.functions.staging import discard, stage
 from segprofile.llm.tables import read
 from segprofile.llm.text import remainder
 
-STATES, WARM_ROUNDS, ROUNDS, SAMPLE, RUN = 8, 6, 2, 2000, 1024
+STATES, FIRST_ROUNDS, ROUNDS, RUN = 8, 2, 2, 1024
+TOP = 256  # words whose company gives the first model
 LEAST = 5  # occurrences from which on a word has states of its own
 GROUPS, ENDING = 1024, 3
 PRIOR = 2.0  # occurrences' worth of the states' shares in every word
 ADD = 0.1  # added to every word's count
-BLOCK, SAMPLE_BLOCK = 1 << 21, 1 << 15
-_UNIT = 65_535  # a word's expected emissions travel as their sum and 16 bits for the part of each state, four to a long
+BLOCK, BUCKET = 1 << 21, 1 << 24  # tokens of a block, bytes of text for each bucket
+PIECES = 64  # sums over all blocks are added up in so many tasks
+_UNIT = 65_535  # a word's expected emissions are their sum and 16 bits for the part of each state
+_SHIFT = 32  # a word's id: bucket, then place in it
 END = b""  # no word is empty
-#: Rows of texts (local is null) and of a block's words (symbols is null) in one table, told apart by ``local``.
-ENCODED = "block long, doc_id long, held_out boolean, symbols binary, local int, word binary, n long"
-LOOKED_UP = "block long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, symbols binary, local int, id long, c long"
+#: Rows of texts (bucket is null) and of a block's words of one bucket.
+ENCODED = "block long, bucket int, doc_id long, held_out boolean, symbols binary, words binary, sizes binary, n binary"
+#: Rows of a block's words of one bucket, of a bucket's words (block is null), and of parts of sums (piece is not null).
+COUNTED = "block long, bucket int, words binary, sizes binary, ids binary, c binary, g binary, piece int, sums binary"
+LOOKED_UP = "block long, bucket int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, symbols binary, ids binary, c binary, piece int, sums binary"
+#: Rows of a block's words of one bucket with the n and parts of their expected emissions, and of parts of sums.
+EXPECTED = "block long, bucket int, ids binary, c binary, n binary, parts binary, piece int, sums binary"
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -84,29 +93,78 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, types[t]) for n, t in (column.split() for column in ddl.split(", "))])
 
 
-def _squeezed(sequences: list[np.ndarray]) -> pa.Array:
+def _squeezed(sequences: list[np.ndarray], kind: str = "<u4") -> pa.Array:
     """Each sequence's lowest bytes, then the next ones, and so on, compressed."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    return pa.array([pack(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for x in sequences], pa.binary())
+    kind = np.dtype(kind)
+    return pa.array([pack(np.ascontiguousarray(x, kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()) for x in sequences], pa.binary())
+
+
+def _sequences(column: pa.ChunkedArray, kind: str = "<u4") -> list[np.ndarray]:
+    unpack, kind = zstandard.ZstdDecompressor().decompress, np.dtype(kind)
+    return [np.ascontiguousarray(np.frombuffer(unpack(x.as_buffer()), np.uint8).reshape(kind.itemsize, -1).T).view(kind)[:, 0] for x in column]
+
+
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *_sequences(column, kind)])
+
+
+def _zipped(words: list[list[bytes]]) -> dict[str, pa.Array]:
+    """Columns of lists of words: their bytes and their sizes."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    sizes = [np.fromiter(map(len, x), "<u4", len(x)) for x in words]
+    return {"words": pa.array([pack(b"".join(x)) for x in words], pa.binary()), "sizes": _squeezed(sizes)}
 
 
-def _sequences(column: pa.ChunkedArray) -> list[np.ndarray]:
+def _words(words: pa.ChunkedArray, sizes: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All words of some rows, and how many each row has."""
     unpack = zstandard.ZstdDecompressor().decompress
-    return [np.ascontiguousarray(np.frombuffer(unpack(x.as_buffer()), np.uint8).reshape(4, -1).T).view("<u4")[:, 0] for x in column]
+    own = _sequences(sizes)
+    data = b"".join([unpack(x.as_buffer()) for x in words])
+    ends = np.cumsum(np.concatenate([[0], *own]), dtype=np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]), np.array([len(x) for x in own])
+
+
+def _pieces(schema: pa.Schema, sums: np.ndarray) -> pa.RecordBatch:
+    """A vector as ``PIECES`` rows."""
+    parts = np.array_split(np.asarray(sums, "<f8").ravel(), PIECES)
+    return _batch(schema, PIECES, piece=pa.array(np.arange(PIECES)), sums=pa.array([x.tobytes() for x in parts], pa.binary()))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Texts as 32-bit places in their block's dictionary, and the dictionaries with counts in training texts."""
+def _total(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of the vectors of ``size`` numbers among ``rows``."""
+    schema = "piece int, sums binary"
+
+    def add(own: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_buffer(), "<f8") for x in own["sums"]], axis=0)
+        return pa.table({"piece": own["piece"].combine_chunks()[:1], "sums": pa.array([total.tobytes()], pa.binary())}, schema=_arrow(schema))
+
+    parts = sorted(rows.filter("piece is not null").select("piece", "sums").groupBy("piece").applyInArrow(add, schema).collect())
+    return np.concatenate([np.frombuffer(bytes(r.sums), "<f8") for r in parts]) if parts else np.zeros(size)
+
+
+def _encode(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Texts as 32-bit places in their block's dictionary, and the dictionaries by bucket with counts in training texts."""
     block, schema = TaskContext.get().partitionId() << 32, _arrow(ENCODED)
     names, ids, held, symbols, total = _Names(), [], [], [], 0
 
     def rows() -> Iterator[pa.RecordBatch]:
+        words = list(names)
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(words), "<u4")
+        place[order] = np.arange(len(words))
+        texts = [place[x] for x in symbols]
         own = pa.repeat(pa.scalar(block, pa.int64()), len(ids))
-        yield _batch(schema, len(ids), block=own, doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held, pa.bool_()), symbols=_squeezed(symbols))
-        train = [x for x, out in zip(symbols, held, strict=True) if not out]
-        n = np.bincount(np.concatenate(train), minlength=len(names)) if train else np.zeros(len(names), int)
-        own = pa.repeat(pa.scalar(block, pa.int64()), len(names))
-        yield _batch(schema, len(names), block=own, local=pa.array(np.arange(len(names))), word=pa.array(list(names), pa.binary()), n=pa.array(n))
+        yield _batch(schema, len(ids), block=own, doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held, pa.bool_()), symbols=_squeezed(texts))
+        train = [x for x, out in zip(texts, held, strict=True) if not out]
+        n = np.bincount(np.concatenate(train), minlength=len(words)) if train else np.zeros(len(words), int)
+        present, first = np.unique(bucket[order], return_index=True)
+        cuts = [*first, len(words)]
+        lists = [[words[i] for i in order[a:b]] for a, b in itertools.pairwise(cuts)]
+        own = pa.repeat(pa.scalar(block, pa.int64()), len(present))
+        counts = _squeezed([n[a:b] for a, b in itertools.pairwise(cuts)])
+        yield _batch(schema, len(present), block=own, bucket=pa.array(present), n=counts, **_zipped(lists))
 
     for batch in batches:
         for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -124,58 +182,109 @@ def _encode(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def encoded(texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """From (doc_id, held_out, text): texts in blocks and the blocks' words."""
-    rows = texts.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("binary"))
-    return stage(rows.mapInArrow(lambda batches: _encode(batches, block), ENCODED))
+    """From (doc_id, held_out, text): texts in blocks and the blocks' words by bucket."""
+    rows = texts.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("binary").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = size // BUCKET + 4
+    return stage(rows.mapInArrow(lambda batches: _encode(batches, block, buckets), ENCODED))
+
+
+def _by(rows: DataFrame, key: str, groups: int):
+    """Rows by key; as many tasks as groups, so that none is merged with others."""
+    return rows.repartition(min(max(groups, 1), 20_000), key).groupBy(key)
 
 
 class Lexicon:
-    """Counts of the training words: a written table (id, word, c), and sums of it.
+    """Counts of the training words: a written table of packed rows, and sums of it.
 
     ``common`` is the weight c + 0.1 of all words of ``least`` occurrences or more, ``rare`` that of the others and
-    of unseen words by group.
+    of unseen words by group. ``top`` are ids and counts of the most frequent words.
     """
 
     def __init__(self, texts: DataFrame, least: int = LEAST):
-        self.least = least
-        words = texts.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
-        self.table = stage(words.select(F.monotonically_increasing_id().alias("id"), "word", "c"))
-        total, distinct = self.table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-        self.tokens, self.distinct = int(total), int(distinct)
+        self.least, schema, top = least, _arrow(COUNTED), []
+        words = texts.filter("bucket is not null").select("block", "bucket", "words", "sizes", "n")
+        self.buckets = words.agg(F.max("bucket")).first()[0] or 0
+
+        def count(own: pa.Table) -> pa.Table:
+            own = own.sort_by("block")
+            bucket = own["bucket"][0].as_py()
+            words, many = _words(own["words"], own["sizes"])
+            found = words.dictionary_encode()
+            place, words = found.indices.to_numpy(), found.dictionary.to_pylist()
+            c = np.bincount(place, _joined(own["n"], "<u4"), len(words)).astype(np.int64)
+            g = np.fromiter((zlib.crc32(w[-ENDING:]) % GROUPS for w in words), np.int64, len(words))
+            ids = (bucket << _SHIFT) + np.arange(len(words))
+            seen, few = c > 0, (c > 0) & (c < least)
+            sums = [(c[c >= least] + ADD).sum(), c.sum(), seen.sum(), *np.bincount(g[few], c[few] + ADD, GROUPS)]
+            cuts = np.cumsum(many)[:-1]
+            per = [np.split(x[place], cuts) for x in (ids, c, g)]
+            kept = [w for w, x in zip(words, seen.tolist(), strict=True) if x]
+            rows = _batch(schema, len(many), block=own["block"].combine_chunks(), bucket=own["bucket"].combine_chunks(), ids=_squeezed(per[0], "<i8"), c=_squeezed(per[1], "<i8"), g=_squeezed(per[2], "<u2"))
+            whole = _batch(schema, 1, bucket=pa.array([bucket]), ids=_squeezed([ids[seen]], "<i8"), c=_squeezed([c[seen]], "<i8"), **_zipped([kept]))
+            return pa.Table.from_batches([rows, whole, _pieces(schema, sums)])
+
+        def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for ids, c in zip(_sequences(batch["ids"], "<i8"), _sequences(batch["c"], "<i8"), strict=True):
+                    first = np.lexsort((ids, -c))[:TOP]
+                    first = first[c[first] >= least]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(c[first])], ["id", "c"])
+
+        self.packed = stage(_by(words, "bucket", self.buckets + 1).applyInArrow(count, COUNTED))
+        self.common, tokens, distinct, *rare = _total(self.packed, 3 + GROUPS)
+        self.tokens, self.distinct, self.rare = int(tokens), int(distinct), np.array(rare) + ADD
         self.floor = self.tokens + ADD * (self.distinct + 1)
-        few = F.when(F.col("c") < least, _group(F.col("word"))).otherwise(-1)
-        weights = {r.g: r.weight for r in self.table.groupBy(few.alias("g")).agg(F.sum(F.col("c") + ADD).alias("weight")).collect()}
-        self.common = weights.pop(-1, 0.0)
-        self.rare = np.full(GROUPS, ADD)
-        for g, weight in weights.items():
-            self.rare[g] += weight
+        dictionary = self.packed.filter("block is null and piece is null")
+        top = dictionary.select("ids", "c").mapInArrow(most, "id long, c long").orderBy(F.desc("c"), "id").limit(TOP).collect()
+        self.top = np.array([r.id for r in top], np.int64), np.array([r.c for r in top], np.int64)
+
+    @property
+    def table(self) -> DataFrame:
+        """Rows of id, word, c."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words, _ = _words(batch["words"], batch["sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(_joined(batch["ids"], "<i8")), words.cast(pa.binary()), pa.array(_joined(batch["c"], "<i8"))], ["id", "word", "c"])
+
+        return self.packed.filter("block is null and piece is null").select("words", "sizes", "ids", "c").mapInArrow(spread, "id long, word binary, c long")
 
 
 def _by_block(texts: DataFrame, words: DataFrame, blocks: int, function, schema: str) -> DataFrame:
-    """``function`` on each block's rows of both; as many tasks as blocks, so that none is merged with others."""
-    tasks = min(max(blocks, 1), 20_000)
-    left = texts.repartition(tasks, "block").groupBy("block")
-    right = words.withColumnRenamed("block", "home").repartition(tasks, "home").groupBy("home")
-    return left.cogroup(right).applyInArrow(function, schema)
+    """``function`` on each block's rows of both, the words by bucket."""
+    right = _by(words.withColumnRenamed("block", "home"), "home", blocks)
+    return _by(texts, "block", blocks).cogroup(right).applyInArrow(lambda own, words: function(own, words.sort_by("bucket")), schema)
+
+
+def _company(texts: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    """In how many runs two of the top words are together; ``place`` is a symbol's among the top ones, else ``TOP``."""
+    together = np.zeros((TOP, TOP))
+    runs = [place[x[i : i + RUN]] for x in texts for i in range(0, len(x), RUN)]
+    for first in range(0, len(runs), 4096):
+        own = runs[first : first + 4096]
+        present = np.zeros((len(own), TOP + 1), np.float32)
+        present[np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)] = 1
+        present = present[:, :TOP]
+        together += present.T @ present
+    return together
 
 
 class Corpus:
     """Texts with their counts looked up; rare words of the same group and count are one symbol."""
 
     def __init__(self, texts: DataFrame, lexicon: Lexicon):
-        words = texts.filter("local is not null").select("block", "local", "word")
-        plain = texts.filter("local is null").select("block", "doc_id", "held_out", "symbols")
-        self.blocks, floor, least, schema = words.filter("local = 0").count(), lexicon.floor, lexicon.least, _arrow(LOOKED_UP)
+        plain = texts.filter("bucket is null").select("block", "doc_id", "held_out", "symbols")
+        self.blocks = plain.select("block").distinct().count()
+        floor, least, schema = lexicon.floor, lexicon.least, _arrow(LOOKED_UP)
+        order = np.argsort(lexicon.top[0])
+        top = lexicon.top[0][order]
 
         def look_up(own: pa.Table, words: pa.Table) -> pa.Table:
-            local = words["local"].to_numpy()
-            c, ids = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
-            c[local] = words["c"].fill_null(0).to_numpy()
-            ids[local] = words["id"].fill_null(-1).to_numpy()
+            per = _sequences(words["c"], "<i8")
+            c, ids, g = np.concatenate(per), _joined(words["ids"], "<i8"), _joined(words["g"], "<u2")
             common = np.flatnonzero(c >= least)
-            symbol = np.zeros(len(local), np.int64)
-            symbol[local] = words["g"].to_numpy()
-            symbol = symbol * least + c
+            symbol = g.astype(np.int64) * least + c
             symbol[common] = GROUPS * least + np.arange(len(common))
             base = np.log10((c + ADD) / floor)
             sequences = _sequences(own["symbols"])
@@ -191,15 +300,20 @@ class Corpus:
                 base=pa.array([float(base[x].sum()) for x in sequences]),
                 symbols=_squeezed([symbol[x] for x in sequences]),
             )
-            names = _batch(schema, len(common), block=pa.repeat(block, len(common)), local=pa.array(np.arange(len(common))), id=pa.array(ids[common]), c=pa.array(c[common]))
-            return pa.Table.from_batches([rows, names])
-
-        # written, so that the shuffled words are gone from disk before the texts are shuffled
-        found = stage(words.join(lexicon.table, "word", "left").select("block", "local", "id", "c", _group(F.col("word")).alias("g")))
-        table = stage(_by_block(plain, found, self.blocks, look_up, LOOKED_UP))
-        discard(found)
-        self.texts = table.filter("local is null").select("block", "doc_id", "held_out", "n_tokens", "n_known", "base", "symbols")
-        self.words = table.filter("local is not null").select("block", "local", "id", "c")
+            cuts = np.cumsum([len(x) for x in per])[:-1]
+            kept = [np.split(x, cuts) for x in (ids, c)]
+            kept = [[x[own >= least] for x, own in zip(column, per, strict=True)] for column in kept]
+            names = _batch(schema, len(per), block=pa.repeat(block, len(per)), bucket=words["bucket"].combine_chunks(), ids=_squeezed(kept[0], "<i8"), c=_squeezed(kept[1], "<i8"))
+            at = np.minimum(np.searchsorted(top, ids), max(len(top) - 1, 0))
+            place = np.where(top[at] == ids, order[at], TOP) if len(top) else np.full(len(ids), TOP)
+            train = [x for x, out in zip(sequences, own["held_out"].to_pylist(), strict=True) if not out]
+            return pa.Table.from_batches([rows, names, _pieces(schema, _company(train, place))])
+
+        found = lexicon.packed.filter("block is not null").select("block", "bucket", "ids", "c", "g")
+        self.table = stage(_by_block(plain, found, self.blocks, look_up, LOOKED_UP))
+        self.texts = self.table.filter("bucket is null and piece is null").select("block", "doc_id", "held_out", "n_tokens", "n_known", "base", "symbols")
+        self.words = self.table.filter("bucket is not null").select("block", "bucket", "ids", "c")
+        self.company = _total(self.table, TOP * TOP).reshape(TOP, TOP)
 
 
 class Model:
@@ -310,14 +424,16 @@ class States:
         starts, later, moves, share = starts + 0.1, later + 0.1, moves + 0.1, share + 0.1
         return States(starts / starts.sum(), later / later.sum(), moves / moves.sum(axis=1, keepdims=True), share / share.sum(), groups)
 
-    def normalise(self, words: DataFrame, lexicon: Lexicon) -> None:
-        """Sum m over all words: those of ``words`` (c, n, parts), other common ones by share, rare and unseen ones by group."""
-        columns = _unpacked(len(self.share))
-        weight = (F.col("c") + ADD) / (sum(columns, F.lit(0.0)) + PRIOR)
-        sums = words.agg(F.sum(F.col("c") + ADD), *[F.sum(weight * (e + PRIOR * float(q))) for e, q in zip(columns, self.share, strict=True)]).first()
-        sums = np.array([x or 0.0 for x in sums])
+    def normalise(self, sums: np.ndarray, lexicon: Lexicon) -> None:
+        """Sum m over all words, from ``_sums`` of all common ones; rare and unseen ones by group."""
         grouped = self.weights(lexicon.rare, self.groups, add=0.0).sum(axis=0)
-        self.norm = sums[1:] + (lexicon.common - sums[0]) * self.share + grouped
+        self.norm = sums[1:] + PRIOR * sums[0] * self.share + grouped
+
+
+def _sums(c: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What words' m add up to but for the states' shares: the factor of these, and the rest by state."""
+    weight = (c + ADD) / (n.sum(axis=1) + PRIOR)
+    return np.concatenate([[weight.sum()], weight @ n])
 
 
 def _parts(k: int) -> list[str]:
@@ -325,130 +441,138 @@ def _parts(k: int) -> list[str]:
 
 
 def _unpacked(k: int) -> list:
-    """Columns of expected emissions by state from n and parts."""
+    """Columns of expected emissions by state from n and parts, four to a long."""
     part = [F.shiftrightunsigned(F.col(f"p{j // 4}"), 16 * (j % 4)).bitwiseAND(F.lit(_UNIT)) for j in range(k)]
     return [F.col("n") * p / F.lit(float(_UNIT)) for p in part]
 
 
-def _packed(columns: list) -> list:
-    """n and parts as columns, from expected emissions by state."""
-    n = sum(columns[1:], columns[0])
-    part = [F.when(n > 0, F.round(e / n * _UNIT)).otherwise(0).cast("long") for e in columns]
-    packed = []
-    for i, name in enumerate(_parts(len(columns))):
-        long = F.lit(0).cast("long")
-        for j, p in enumerate(part[4 * i : 4 * i + 4]):
-            long = long.bitwiseOR(F.shiftleft(p, 16 * j))
-        packed.append(long.alias(name))
-    return [n.alias("n"), *packed]
+def _packed(emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n and parts (word, state) of expected emissions."""
+    n = emitted.sum(axis=1).astype("<f4")
+    return n, np.rint(emitted / np.maximum(n, 1e-30)[:, None] * _UNIT).clip(0, _UNIT).astype("<u2")
 
 
-def _weights(words: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """id, c and expected emissions of a block's words by place."""
-    order = np.argsort(words["local"].to_numpy())
-    ids, c, n = (words[x].fill_null(0).to_numpy()[order] for x in ("id", "c", "n"))
-    parts = np.stack([words[p].fill_null(0).to_numpy()[order] for p in _parts(k)], axis=1)
-    return ids, c, n[:, None] * parts.astype("<i8").view("<u2")[:, :k] / _UNIT
+def _emissions(n: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return n.astype(float)[:, None] * parts / _UNIT
 
 
-def _round(corpus: Corpus, table: DataFrame, states: States, lexicon: Lexicon) -> tuple[DataFrame, States]:
-    """Expected emissions per word (id, c, n, parts) and states after one round over the training texts."""
-    k, least = len(states.share), lexicon.least
-    parts = _parts(k)
-    result = "id long, c long, n double, " + ", ".join(f"{p} long" for p in parts)
-    schema, fixed = _arrow(result), 3 + k + GROUPS
-
-    def expect(texts: pa.Table, words: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return schema.empty_table()
-        ids, c, n = _weights(words, k)
-        starts, later, moves, emitted = states.model(c, n, least).expected(_sequences(texts["symbols"]))
-        groups = emitted[: GROUPS * least].reshape(GROUPS, least, k).sum(axis=1)
-        # ids below zero: starts, later starts, shares, moves from each state, groups
-        rows = np.concatenate([[starts, later, emitted.sum(axis=0)], moves, groups, emitted[GROUPS * least :]])
-        names, counts = np.concatenate([-1 - np.arange(fixed), ids]), np.concatenate([np.zeros(fixed, int), c])
-        kept = rows.any(axis=1)
-        rows = rows[kept]
-        total = rows.sum(axis=1)
-        packed = np.zeros((len(rows), 4 * len(parts)), "<u2")
-        packed[:, :k] = np.rint(rows / total[:, None] * _UNIT)
-        return pa.Table.from_arrays([pa.array(x) for x in (names[kept], counts[kept], total, *packed.view("<i8").T)], schema=schema)
-
-    words = corpus.words.join(table.drop("c"), "id", "left").select("block", "local", "id", "c", "n", *parts)
-    sums = _by_block(corpus.texts.filter("not held_out").select("block", "symbols"), words, corpus.blocks, expect, result)
-    # rows travel packed and are added up where they arrive: at most one a block and word
-    columns = [f"e{j}" for j in range(k)]
-    added = sums.repartition("id").groupBy("id").agg(F.max("c").alias("c"), *[F.sum(x).alias(e) for x, e in zip(_unpacked(k), columns, strict=True)])
-    before, table = table, stage(added.select("id", "c", *_packed([F.col(e) for e in columns])))
-    discard(before)
-    totals = np.zeros((fixed, k))
-    for r in table.filter("id < 0").select("id", F.array(*_unpacked(k)).alias("e")).collect():
-        totals[-1 - r.id] = r.e
-    words = table.filter("id >= 0")
-    states = States.improved(totals[0], totals[1], totals[3 : 3 + k], totals[2], totals[3 + k :])
-    states.normalise(words, lexicon)
-    return words, states
-
+def _columns(emitted: list[np.ndarray]) -> dict[str, pa.Array]:
+    packed = [_packed(x) for x in emitted]
+    return {"n": _squeezed([n for n, _ in packed], "<f4"), "parts": _squeezed([p.T.ravel() for _, p in packed], "<u2")}
 
-def _seeds(texts: DataFrame, states: int) -> list[Counter]:
-    """Words of the sampled texts that differ most from one another; none if all texts are empty or over 20,000 bytes."""
-    size = F.octet_length("text")
-    few = texts.filter(size.between(1, 20_000)).orderBy(size < 300, F.xxhash64("doc_id", "text")).limit(96)
-    candidates = [Counter(tokens_of(bytes(r.text))) for r in few.select(F.col("text").cast("binary").alias("text")).collect()]
-    if not candidates:
-        return []
-    norms = [math.sqrt(sum(x.values())) for x in candidates]
 
-    def alike(i: int, j: int) -> float:
-        a, b = candidates[i], candidates[j]
-        return sum(math.sqrt(a[w] * b[w]) for w in a.keys() & b.keys()) / (norms[i] * norms[j])
+def _weights(words: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Counts by bucket, and counts and expected emissions of all words of some rows."""
+    c = _sequences(words["c"], "<i8")
+    emitted = [_emissions(n, p.reshape(k, -1).T) for n, p in zip(_sequences(words["n"], "<f4"), _sequences(words["parts"], "<u2"), strict=True)]
+    return c, np.concatenate([np.zeros(0, np.int64), *c]), np.concatenate([np.zeros((0, k)), *emitted])
 
-    chosen = [0]
-    nearest = [alike(i, 0) for i in range(len(candidates))]
-    while len(chosen) < min(states, len(candidates)):
-        chosen.append(min(range(len(candidates)), key=nearest.__getitem__))
-        nearest = [max(x, alike(i, chosen[-1])) for i, x in enumerate(nearest)]
-    return [candidates[i] for i in chosen]
 
+def _round(corpus: Corpus, table: DataFrame, states: States, lexicon: Lexicon) -> tuple[DataFrame, States]:
+    """Rows of ``EXPECTED`` and states after one round over the training texts."""
+    k, least, schema = len(states.share), lexicon.least, _arrow(EXPECTED)
+    fixed = 3 + k + GROUPS
 
-def train(spark: SparkSession, texts: DataFrame, corpus: Corpus, lexicon: Lexicon, states: int = STATES, rounds: int = ROUNDS) -> tuple[DataFrame, States]:
-    """Expected emissions per word and states, from all training texts in each of the last ``rounds`` rounds."""
-    texts = texts.filter("not held_out")
-    n = corpus.texts.filter("not held_out").count()
-    kept = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(math.ceil(1_000_000 * min(1.0, SAMPLE / max(n, 1))))
-    sample = stage(texts.filter(kept))
-    seeds, columns = _seeds(sample, states), [f"e{j}" for j in range(states)]
-    common = lexicon.table.filter(F.col("c") >= lexicon.least)
-    if seeds:  # every state leans to the words of one seed text
-        rows = [(bytearray(w), *(10.0 * (seeds[j % len(seeds)][w] > 0) * (1 + 0.01 * j) for j in range(states))) for w in sorted(set().union(*seeds))]
-        leaning = spark.createDataFrame(rows, "word binary, " + ", ".join(f"{e} double" for e in columns))
-        table = common.join(leaning, "word").select("id", "c", *columns)
-    else:  # to words dealt by hash
-        own = F.pmod(F.xxhash64("word"), F.lit(states))
-        table = common.select("id", "c", *[F.when(own == j, 10.0).otherwise(0.0).alias(e) for j, e in enumerate(columns)])
-    table = stage(table.select("id", "c", *_packed([F.col(e) for e in columns])))
+    def expect(texts: pa.Table, words: pa.Table) -> pa.Table:
+        per, c, n = _weights(words, k)
+        if texts.num_rows:
+            starts, later, moves, emitted = states.model(c, n, least).expected(_sequences(texts["symbols"]))
+            groups = emitted[: GROUPS * least].reshape(GROUPS, least, k).sum(axis=1)
+            sums = _pieces(schema, np.concatenate([[starts, later, emitted.sum(axis=0)], moves, groups]))
+            emitted = emitted[GROUPS * least :]
+        else:  # the words of held-out texts
+            sums, emitted = schema.empty_table().to_batches(), np.zeros((len(c), k))
+        own = np.split(emitted, np.cumsum([len(x) for x in per])[:-1]) if per else []
+        rows = _batch(schema, len(per), block=words["home"].combine_chunks(), **{x: words[x].combine_chunks() for x in ("bucket", "ids", "c")}, **_columns(own))
+        return pa.Table.from_batches([rows, *([sums] if isinstance(sums, pa.RecordBatch) else sums)], schema=schema)
+
+    def gather(own: pa.Table) -> pa.Table:
+        own = own.sort_by("block")
+        per, c, n = _weights(own, k)
+        ids, first, place = np.unique(_joined(own["ids"], "<i8"), return_index=True, return_inverse=True)
+        emitted = np.stack([np.bincount(place, n[:, j], len(ids)) for j in range(k)], axis=1)
+        emitted = _emissions(*_packed(emitted))
+        cuts = np.cumsum([len(x) for x in per])[:-1]
+        rows = _batch(schema, len(per), **{x: own[x].combine_chunks() for x in ("block", "bucket", "ids", "c")}, **_columns(np.split(emitted[place], cuts)))
+        return pa.Table.from_batches([rows, _pieces(schema, _sums(c[first], emitted))])
+
+    sums = stage(_by_block(corpus.texts.filter("not held_out").select("block", "symbols"), table, corpus.blocks, expect, EXPECTED))
+    before = table
+    table = stage(_by(sums.filter("piece is null"), "bucket", lexicon.buckets + 1).applyInArrow(gather, EXPECTED))
+    totals = _total(sums, fixed * k).reshape(fixed, k)
+    discard(sums)
+    if before.inputFiles()[0] != corpus.words.inputFiles()[0]:
+        discard(before)
+    states = States.improved(totals[0], totals[1], totals[3 : 3 + k], totals[2], totals[3 + k :])
+    states.normalise(_total(table, 1 + k), lexicon)
+    return table.filter("piece is null").select("block", "bucket", "ids", "c", "n", "parts"), states
+
+
+def _anchors(company: np.ndarray, states: int) -> np.ndarray:
+    """How much each of the top words leans to each state: its company with an anchor, and that with all."""
+    runs = np.diag(company)
+    size = int((runs > 0).sum())
+    alike = company / np.sqrt(np.maximum(np.outer(runs, runs), 1.0))
+    chosen = [int(np.argmax(runs))]
+    while len(chosen) < min(states, size):
+        far = (1 - alike[:, chosen].max(axis=1)) * np.sqrt(runs)
+        far[chosen] = -1
+        chosen.append(int(np.argmax(far)))
+    lean = alike[:, [chosen[j % len(chosen)] for j in range(states)]] ** 2 * (1 + 0.01 * np.arange(states))
+    return lean / np.maximum(lean.sum(axis=1, keepdims=True), 1e-30)
+
+
+def _fit(corpus: Corpus, lexicon: Lexicon, states: int, rounds: int) -> tuple[DataFrame, States]:
+    """Rows of ``EXPECTED`` and states after the first model and ``rounds`` rounds."""
+    order = np.argsort(lexicon.top[0])
+    top, c = (x[order] for x in lexicon.top)
+    lean = 10.0 * _anchors(corpus.company, states)[order]
+    lean = _emissions(*_packed(lean))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            emitted = []
+            for ids in _sequences(batch["ids"], "<i8"):
+                own = np.zeros((len(ids), states))
+                _, here, there = np.intersect1d(ids, top, assume_unique=True, return_indices=True)
+                own[here] = lean[there]
+                emitted.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(emitted).values()], [*batch.schema.names, "n", "parts"])
+
+    table = corpus.words.mapInArrow(start, "block long, bucket int, ids binary, c binary, n binary, parts binary")
     model = States.even(states)
-    model.normalise(table, lexicon)
-    if n and rounds:
-        places = encoded(sample, SAMPLE_BLOCK)
-        few = Corpus(places, lexicon)
-        for _ in range(WARM_ROUNDS):
-            table, model = _round(few, table, model, lexicon)
-        for done in (sample, places, few.texts):
-            discard(done)
+    others = lexicon.common - (c + ADD).sum()
+    model.normalise(_sums(c, lean) + np.concatenate([[others / PRIOR], np.zeros(states)]), lexicon)
+    if lexicon.tokens:
         for _ in range(rounds):
             table, model = _round(corpus, table, model, lexicon)
     return table, model
 
 
+def train(spark: SparkSession, texts: DataFrame, corpus: Corpus, lexicon: Lexicon, states: int = STATES, rounds: int = ROUNDS) -> tuple[DataFrame, States]:
+    """Expected emissions per word (id, c, n, parts) and states, from all training texts in each of the rounds."""
+    table, model = _fit(corpus, lexicon, states, FIRST_ROUNDS + rounds)
+    parts = _parts(states)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, c, n, p in zip(*(_sequences(batch[x], kind) for x, kind in (("ids", "<i8"), ("c", "<i8"), ("n", "<f4"), ("parts", "<u2"))), strict=True):
+                own = np.zeros((len(ids), 4 * len(parts)), "<u2")
+                own[:, :states] = p.reshape(states, -1).T
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, c, n.astype(float), *own.view("<i8").T)], ["id", "c", "n", *parts])
+
+    rows = table.mapInArrow(spread, "id long, c long, n double, " + ", ".join(f"{p} long" for p in parts))
+    return rows.dropDuplicates(["id"]), model
+
+
 def score_texts(spark: SparkSession, docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned where not ``held_out``."""
-    texts = docs.select("doc_id", held_out.alias("held_out"), "text")
-    rows = encoded(texts, block)
+    rows = encoded(docs.select("doc_id", held_out.alias("held_out"), "text"), block)
     lexicon = Lexicon(rows, least)
     corpus = Corpus(rows, lexicon)
     discard(rows)
-    table, model = train(spark, texts, corpus, lexicon, states, rounds)
+    discard(lexicon.packed)
+    table, model = _fit(corpus, lexicon, states, FIRST_ROUNDS + rounds)
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def score(own: pa.Table, words: pa.Table) -> pa.Table:
@@ -456,8 +580,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out, states: int = ST
         likely = model.model(c, n, least).forward(_sequences(own["symbols"]))
         return pa.Table.from_arrays([own[x].combine_chunks() for x in ("doc_id", "held_out", "n_tokens", "n_known", "base")] + [pa.array(likely)], schema=_arrow(result))
 
-    words = corpus.words.join(table.drop("c"), "id", "left").select("block", "local", "id", "c", "n", *_parts(states))
-    scored = _by_block(corpus.texts, words, corpus.blocks, score, result)
+    scored = _by_block(corpus.texts, table, corpus.blocks, score, result)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lexicon.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

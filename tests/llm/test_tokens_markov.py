@@ -180,3 +180,16 @@ def test_scores_of_odd_rows(spark, odd, none):
 def test_the_model_beats_the_base_on_held_out_texts(spark):
     rows = H.query(spark, "/root/testdata/sf0.01").filter("held_out").collect()
     assert sum(r.score for r in rows) > 0.95 * sum(r.base_score for r in rows)
+
+
+def test_every_round_reads_every_training_text(spark, documents, monkeypatch):
+    docs = documents([(i, f"word{i % 7} and word{i % 3}", "en", "a") for i in range(3000)])
+    seen, one_round = [], H._round
+
+    def counted(corpus, *rest):
+        seen.append(corpus.texts.filter("not held_out").count())
+        return one_round(corpus, *rest)
+
+    monkeypatch.setattr(H, "_round", counted)
+    H.score_texts(spark, docs, F.col("doc_id") % 10 == 0, states=2, rounds=1)
+    assert len(seen) > 1 and set(seen) == {2700}
