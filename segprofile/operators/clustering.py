@@ -7,16 +7,20 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segprofile.functions.columns import col, cols, double, share
+from segprofile.functions.staging import discard, stage
 from segprofile.operators.filters import drop_missing
 from segprofile.operators.profiles import mode_first_seen, profile_table
 
+#: Rows of a part of the standardised numbers: as many parts as cores between these bounds.
+LEAST_ROWS, MOST_ROWS = 20_000, 500_000
+
 
 class BadValuesError(ValueError):
     """The feature matrix holds missing or infinite values."""
@@ -110,16 +114,18 @@ def cluster_rows(
     restarts: int = 10,
     seed: int = 42,
     missing: str = "error",
-    parallelism: int = 10,
+    parallelism: int = 4,
 ) -> Clustering:
     """k-means on the standardised columns, the cheapest of several restarts.
 
     There are at most as many clusters as rows.
 
     Clusters are numbered by size, largest first, then by centre. The
-    standardised vectors, and nothing else of the table, are cached while the
-    restarts, run side by side, read them. A fit ends when the squared moves of
-    all centres add up to no more than 1e-4.
+    standardised numbers, and nothing else of the table, are written once in a
+    part per core. Every fit caches its own vectors from there, for its
+    own time: a cached table given to it would be decoded anew, twice, in each
+    step. Some restarts run side by side. A fit ends when the squared moves of all
+    centres add up to no more than 1e-4.
     """
     df = mend_features(df, columns, missing)
     n, fitted = fit_scales(df, columns)
@@ -135,8 +141,11 @@ def cluster_rows(
             for z, c, (m, s) in zip(scaled, columns, fitted)
         ],
     )
-    matrix = VectorAssembler(inputCols=scaled, outputCol="_features").transform(matrix)
-    vectors = matrix.select("_features").persist(StorageLevel.MEMORY_AND_DISK)
+    assembler = VectorAssembler(inputCols=scaled, outputCol="_features")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(cores, math.ceil(n / LEAST_ROWS)), math.ceil(n / MOST_ROWS))
+    numbers = stage(matrix.select(*scaled).repartition(parts))
+    vectors = assembler.transform(numbers).select("_features")
 
     def fit(restart: int) -> KMeansModel:
         means = KMeans(
@@ -149,19 +158,17 @@ def cluster_rows(
         )
         return means.fit(vectors)
 
-    try:
-        fit_one = inheritable_thread_target(df.sparkSession)(fit)
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            models = list(pool.map(fit_one, range(restarts)))
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        # counted when asked for, so while the vectors are still cached
-        sizes = best.summary.clusterSizes
-    finally:
-        vectors.unpersist()
+    fit_one = inheritable_thread_target(df.sparkSession)(fit)
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        models = list(pool.map(fit_one, range(restarts)))
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    # counted when asked for, so while the numbers are still there
+    sizes = best.summary.clusterSizes
+    discard(numbers)
     centers = [tuple(c) for c in best.clusterCenters()]
     order = sorted(range(len(centers)), key=lambda i: (-sizes[i], centers[i]))
     number = F.array(*[F.lit(order.index(i)) for i in range(len(centers))])
-    rows = best.transform(matrix).select(
+    rows = best.transform(assembler.transform(matrix)).select(
         *cols(df.columns), F.get(number, F.col("_p")).alias("cluster")
     )
     return Clustering(rows, len(centers), float(best.summary.trainingCost), best, tuple(order))

@@ -109,3 +109,15 @@ def test_covariance(make):
     found = {(r.feature_a, r.feature_b): r.covariance for r in reduction.feature_covariance(rows, ["x", "y"]).collect()}
     assert found["x", "x"] == pytest.approx(5 / 3) and found["x", "y"] == pytest.approx(-10 / 3)
     assert len(found) == 3 and not math.isnan(found["y", "y"])
+
+
+def test_fits_read_written_numbers_and_no_cached_table(spark, monkeypatch):
+    cached, fit = [], clustering.KMeans.fit
+
+    def watched(self, rows):
+        cached.append(rows.storageLevel.useMemory)
+        return fit(self, rows)
+
+    monkeypatch.setattr(clustering.KMeans, "fit", watched)
+    found = clustering.cluster_rows(blobs(spark), ["x", "y", "z"], k=4, restarts=2)
+    assert cached == [False, False] and found.rows.groupBy("cluster").count().count() == 4
