@@ -21,8 +21,8 @@ Baum-Welch: per block, expected starts, moves and emissions are added up and lea
 blocks give the next model. Every round reads every training text. The first model leans, state by state, to the words
 that keep company with one of ``STATES`` anchors: of the ``TOP`` most frequent words those that share the fewest runs,
 counted over all training texts. Training cuts texts into runs of ``RUN`` tokens that share the token at the cut, so
-every move and every emission counts once. Scoring runs the scaled forward recursion over the whole text, many texts
-side by side.
+every move and every emission counts once. Scoring runs the forward recursion over the whole text, many texts side by
+side. Both scale their states every ``STEPS`` tokens, or as often as the smallest probabilities ask for.
 
 Edge cases: null or empty text is the end alone; an empty training set leaves every word unseen; repeated
 rows are scored alike and count as often as they occur; other columns are not looked at.
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from segprofile.functions.staging import discard, stage
 from segprofile.llm.tables import read
-from segprofile.llm.text import remainder
+from segprofile.llm.text import buffer_of, pieces, remainder
 
 STATES, FIRST_ROUNDS, ROUNDS, RUN = 8, 2, 2, 1024
 TOP = 256  # words whose company gives the first model
@@ -53,9 +53,12 @@ PRIOR = 2.0  # occurrences' worth of the states' shares in every word
 ADD = 0.1  # added to every word's count
 BLOCK, BUCKET = 1 << 21, 1 << 24  # tokens of a block, bytes of text for each bucket
 PIECES = 64  # sums over all blocks are added up in so many tasks
+STEPS = 16  # tokens after which the recursions scale their states at the latest
 _UNIT = 65_535  # a word's expected emissions are their sum and 16 bits for the part of each state
 _SHIFT = 32  # a word's id: bucket, then place in it
 END = b""  # no word is empty
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 #: Rows of texts (bucket is null) and of a block's words of one bucket.
 ENCODED = "block long, bucket int, doc_id long, held_out boolean, symbols binary, words binary, sizes binary, n binary"
 #: Rows of a block's words of one bucket, of a bucket's words (block is null), and of parts of sums (piece is not null).
@@ -70,12 +73,25 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-class _Names(dict):
-    """word -> its place in the order of first occurrence."""
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of some texts at once: their bytes in a row, their sizes, and how many each text has."""
+    data, starts = buffer_of(texts)
+    data = np.frombuffer(data.tobytes().lower(), np.uint8)
+    inside = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    firsts = starts[:-1][starts[:-1] < starts[1:]]  # a text's first byte begins a word of its own
+    begins[firsts] = inside[firsts]
+    upto = np.searchsorted(np.flatnonzero(begins), starts)
+    data = data[inside]
+    sizes = np.diff(np.flatnonzero(begins[inside]), append=len(data))
+    return data, np.insert(sizes, upto[1:], 0), np.diff(upto) + 1
 
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        return place
+
+def _listed(data: np.ndarray | bytes, sizes: np.ndarray) -> pa.Array:
+    """Words from their bytes and their sizes."""
+    ends = np.cumsum(np.concatenate([[0], sizes]), dtype=np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
 def _group(word):
@@ -109,11 +125,13 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *_sequences(column, kind)])
 
 
-def _zipped(words: list[list[bytes]]) -> dict[str, pa.Array]:
-    """Columns of lists of words: their bytes and their sizes."""
+def _zipped(words: pa.Array, cuts: list[int]) -> dict[str, pa.Array]:
+    """Columns of the words between two cuts each: their bytes and their sizes."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    sizes = [np.fromiter(map(len, x), "<u4", len(x)) for x in words]
-    return {"words": pa.array([pack(b"".join(x)) for x in words], pa.binary()), "sizes": _squeezed(sizes)}
+    data, ends = buffer_of(words)
+    parts = list(itertools.pairwise(cuts))
+    sizes = np.diff(ends)
+    return {"words": pa.array([pack(data[ends[a] : ends[b]].tobytes()) for a, b in parts], pa.binary()), "sizes": _squeezed([sizes[a:b] for a, b in parts])}
 
 
 def _words(words: pa.ChunkedArray, sizes: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
@@ -121,8 +139,7 @@ def _words(words: pa.ChunkedArray, sizes: pa.ChunkedArray) -> tuple[pa.Array, np
     unpack = zstandard.ZstdDecompressor().decompress
     own = _sequences(sizes)
     data = b"".join([unpack(x.as_buffer()) for x in words])
-    ends = np.cumsum(np.concatenate([[0], *own]), dtype=np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]), np.array([len(x) for x in own])
+    return _listed(data, np.concatenate([np.zeros(0, "<u4"), *own])), np.array([len(x) for x in own])
 
 
 def _pieces(schema: pa.Schema, sums: np.ndarray) -> pa.RecordBatch:
@@ -146,37 +163,42 @@ def _total(rows: DataFrame, size: int) -> np.ndarray:
 def _encode(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Texts as 32-bit places in their block's dictionary, and the dictionaries by bucket with counts in training texts."""
     block, schema = TaskContext.get().partitionId() << 32, _arrow(ENCODED)
-    names, ids, held, symbols, total = _Names(), [], [], [], 0
+    ids, held, parts, total = [], [], [], 0
 
     def rows() -> Iterator[pa.RecordBatch]:
-        words = list(names)
-        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        data, sizes, many = (np.concatenate(x) for x in zip(*parts, strict=True))
+        found = _listed(data, sizes).dictionary_encode()
+        bucket = np.fromiter(map(zlib.crc32, found.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(found.dictionary)) % buckets
         order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(words), "<u4")
-        place[order] = np.arange(len(words))
-        texts = [place[x] for x in symbols]
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order))
+        symbols = place[found.indices.to_numpy()]
         own = pa.repeat(pa.scalar(block, pa.int64()), len(ids))
-        yield _batch(schema, len(ids), block=own, doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held, pa.bool_()), symbols=_squeezed(texts))
-        train = [x for x, out in zip(texts, held, strict=True) if not out]
-        n = np.bincount(np.concatenate(train), minlength=len(words)) if train else np.zeros(len(words), int)
+        yield _batch(schema, len(ids), block=own, doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held, pa.bool_()), symbols=_squeezed(np.split(symbols, np.cumsum(many)[:-1])))
+        n = np.bincount(symbols[~np.repeat(np.array(held, bool), many)], minlength=len(order))
         present, first = np.unique(bucket[order], return_index=True)
-        cuts = [*first, len(words)]
-        lists = [[words[i] for i in order[a:b]] for a, b in itertools.pairwise(cuts)]
+        cuts = [*first.tolist(), len(order)]
         own = pa.repeat(pa.scalar(block, pa.int64()), len(present))
         counts = _squeezed([n[a:b] for a, b in itertools.pairwise(cuts)])
-        yield _batch(schema, len(present), block=own, bucket=pa.array(present), n=counts, **_zipped(lists))
+        yield _batch(schema, len(present), block=own, bucket=pa.array(present), n=counts, **_zipped(found.dictionary.take(pa.array(order)), cuts))
 
     for batch in batches:
-        for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            tokens = tokens_of(text.as_py())
-            ids.append(doc_id)
-            held.append(held_out)
-            symbols.append(np.fromiter(map(names.__getitem__, tokens), "<u4", len(tokens)))
-            total += len(tokens)
-            if total >= size:
-                yield from rows()
-                names, ids, held, symbols, total = _Names(), [], [], [], 0
-                block += 1
+        for first, texts in pieces(batch.column(2)):
+            data, sizes, many = _split(texts)
+            while len(many):
+                upto = np.cumsum(many)
+                last = min(int(np.searchsorted(upto, size - total)) + 1, len(many))  # texts up to the one that fills the block
+                taken = int(upto[last - 1])
+                stop = int(sizes[:taken].sum())
+                parts.append((data[:stop], sizes[:taken].astype("<u4"), many[:last]))
+                ids += batch.column(0).slice(first, last).to_pylist()
+                held += batch.column(1).slice(first, last).to_pylist()
+                first, total = first + last, total + taken
+                data, sizes, many = data[stop:], sizes[taken:], many[last:]
+                if total >= size:
+                    yield from rows()
+                    ids, held, parts, total = [], [], [], 0
+                    block += 1
     if ids:
         yield from rows()
 
@@ -211,7 +233,7 @@ class Lexicon:
             bucket = own["bucket"][0].as_py()
             words, many = _words(own["words"], own["sizes"])
             found = words.dictionary_encode()
-            place, words = found.indices.to_numpy(), found.dictionary.to_pylist()
+            place, words = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False)
             c = np.bincount(place, _joined(own["n"], "<u4"), len(words)).astype(np.int64)
             g = np.fromiter((zlib.crc32(w[-ENDING:]) % GROUPS for w in words), np.int64, len(words))
             ids = (bucket << _SHIFT) + np.arange(len(words))
@@ -219,9 +241,9 @@ class Lexicon:
             sums = [(c[c >= least] + ADD).sum(), c.sum(), seen.sum(), *np.bincount(g[few], c[few] + ADD, GROUPS)]
             cuts = np.cumsum(many)[:-1]
             per = [np.split(x[place], cuts) for x in (ids, c, g)]
-            kept = [w for w, x in zip(words, seen.tolist(), strict=True) if x]
+            kept = found.dictionary.filter(pa.array(seen))
             rows = _batch(schema, len(many), block=own["block"].combine_chunks(), bucket=own["bucket"].combine_chunks(), ids=_squeezed(per[0], "<i8"), c=_squeezed(per[1], "<i8"), g=_squeezed(per[2], "<u2"))
-            whole = _batch(schema, 1, bucket=pa.array([bucket]), ids=_squeezed([ids[seen]], "<i8"), c=_squeezed([c[seen]], "<i8"), **_zipped([kept]))
+            whole = _batch(schema, 1, bucket=pa.array([bucket]), ids=_squeezed([ids[seen]], "<i8"), c=_squeezed([c[seen]], "<i8"), **_zipped(kept, [0, len(kept)]))
             return pa.Table.from_batches([rows, whole, _pieces(schema, sums)])
 
         def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,37 +338,59 @@ class Corpus:
         self.company = _total(self.table, TOP * TOP).reshape(TOP, TOP)
 
 
+def _side_by_side(texts: list[np.ndarray], steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences, longest first, laid out by place: their first symbols, then their second ones and so on.
+
+    The symbols, where each place begins, edges of stretches of places from 1 on, and where each sequence ends. All
+    places of a stretch have equally many sequences, and so has the place before it unless the stretch is one place.
+    """
+    lengths = np.array([len(x) for x in texts])
+    alive = len(texts) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+    at = np.concatenate([[0], np.cumsum(alive)])
+    symbols = np.empty(at[-1], np.intp)
+    for j, x in enumerate(texts):
+        symbols[at[: len(x)] + j] = x
+    change = np.flatnonzero(alive[1:] != alive[:-1]) + 1
+    edges = np.unique(np.concatenate([np.arange(1, len(alive), steps), change, change + 1, [len(alive)]]))
+    return symbols, at, edges[edges <= len(alive)], at[lengths - 1] + np.arange(len(texts))
+
+
 class Model:
     """start, later (start of a run inside a text), move (from, to) and emit (state, symbol)."""
 
     def __init__(self, start, later, move, emit):
         self.start, self.later, self.move, self.emit = start, later, move, emit
 
+    def _steps(self) -> int:
+        """How many places states may go without being scaled: what is likeliest then stays above 1e-200."""
+        peak = np.maximum(self.emit.max(axis=0), 1e-300)
+        least = max(self.move.min(), (self.emit.min(axis=0) / peak).min()) * peak.min()
+        return int(np.clip(200 / -np.log10(np.clip(least, 1e-300, 0.1)), 1, STEPS))
+
     def forward(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each sequence of symbols, by the scaled forward recursion."""
         out = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        emit = np.ascontiguousarray(self.emit.T)
+        emit, steps, k = np.ascontiguousarray(self.emit.T), self._steps(), len(self.start)
         first = 0
         while first < len(order):
-            longest = len(texts[order[first]])
-            last = min(len(order), first + max(1, min(1024, 1_000_000 // max(longest, 1))))
+            last = min(len(order), first + max(1, min(1024, 1_000_000 // max(len(texts[order[first]]), 1))))
             own = order[first:last]
-            lengths = np.array([len(texts[i]) for i in own])
-            padded = np.zeros((longest, len(own)), np.uint32)
-            for j, i in enumerate(own):
-                padded[: lengths[j], j] = texts[i]
-            alive = len(own) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
-            scale = np.ones((longest, len(own)))
-            state = None
-            for t in range(longest):
-                n = alive[t]
-                seen = emit.take(padded[t, :n], axis=0)
-                state = self.start * seen if t == 0 else (state[:n] @ self.move) * seen
-                s = state.sum(axis=1)
-                scale[t, :n] = s
-                state /= s[:, None]
-            out[own] = np.log10(scale).sum(axis=0)
+            symbols, at, edges, _ = _side_by_side([texts[i] for i in own], steps)
+            ahead, guess, total = np.empty((steps * len(own), k)), np.empty((len(own), k)), np.zeros(len(own))
+            state = self.start * emit.take(symbols[: len(own)], axis=0)
+            for a, b in itertools.pairwise([0, *edges.tolist()]):
+                n = int(at[a + 1] - at[a])
+                if a:
+                    seen = emit.take(symbols[at[a] : at[b]], axis=0, out=ahead[: (b - a) * n], mode="clip")
+                    for i in range(0, len(seen), n):
+                        np.matmul(state[:n], self.move, out=guess[:n])
+                        state = seen[i : i + n]
+                        state *= guess[:n]
+                scale = state.sum(axis=1)
+                total[:n] += np.log10(scale)
+                state = state / scale[:, None]
+            out[own] = total
             first = last
         return out
 
@@ -357,43 +401,52 @@ class Model:
         counts in the next run.
         """
         k, size = self.emit.shape
-        starts, later, moves, emitted = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+        starts, later, moves = np.zeros(k), np.zeros(k), np.zeros((k, k))
+        emitted = np.zeros((size + 1) * k)  # the last symbol takes what does not count
         runs = [(x[i : i + run + 1], i == 0, i + run >= len(x)) for x in texts for i in range(0, len(x), run)]
         runs.sort(key=lambda r: -len(r[0]))
-        emit = np.ascontiguousarray(self.emit.T)
+        emit, back, steps = np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T), self._steps()
         for first in range(0, len(runs), 256):
             own = runs[first : first + 256]
-            lengths = np.array([len(r[0]) for r in own])
-            is_first = np.array([r[1] for r in own])
-            counted = lengths - ~np.array([r[2] for r in own])
-            longest = lengths[0]
-            padded = np.zeros((longest, len(own)), np.uint32)
-            for j, (x, _, _) in enumerate(own):
-                padded[: len(x), j] = x
-            alive = len(own) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
-            ahead, scale = np.zeros((longest, len(own), k)), np.ones((longest, len(own)))
-            for t in range(longest):
-                n = alive[t]
-                seen = emit.take(padded[t, :n], axis=0)
-                state = np.where(is_first[:, None], self.start, self.later) * seen if t == 0 else (ahead[t - 1, :n] @ self.move) * seen
-                scale[t, :n] = state.sum(axis=1)
-                ahead[t, :n] = state / scale[t, :n, None]
-            behind = np.ones((len(own), k))
-            for t in range(longest - 1, -1, -1):
-                n = alive[t]
-                posterior = ahead[t, :n] * behind[:n]  # adds up to one per run
-                if t:
-                    seen = emit.take(padded[t, :n], axis=0) * behind[:n] / scale[t, :n, None]
-                    moves += ahead[t - 1, :n].T @ seen
-                    behind[:n] = seen @ self.move.T
-                ahead[t, :n] = posterior
-            starts += ahead[0][is_first].sum(axis=0)
-            later += ahead[0][~is_first].sum(axis=0)
-            inside = np.arange(longest)[:, None] < counted
-            symbols, posterior = padded[inside], ahead[inside]
-            for j in range(k):
-                emitted[:, j] += np.bincount(symbols, posterior[:, j], size)
-        return starts, later, moves * self.move, emitted
+            is_first, is_last = np.array([r[1:] for r in own]).T
+            symbols, at, edges, last = _side_by_side([r[0] for r in own], steps)
+            stretches = list(itertools.pairwise(edges.tolist()))
+            ahead, guess, scale = np.empty((len(symbols), k)), np.empty((len(own), k)), {}
+            state = emit.take(symbols[: len(own)], axis=0, out=ahead[: len(own)], mode="clip")
+            state *= np.where(is_first[:, None], self.start, self.later)
+            for a, b in stretches:
+                n = int(at[a + 1] - at[a])
+                emit.take(symbols[at[a] : at[b]], axis=0, out=ahead[at[a] : at[b]], mode="clip")
+                for i in range(at[a], at[b], n):
+                    np.matmul(state[:n], self.move, out=guess[:n])
+                    state = ahead[i : i + n]
+                    state *= guess[:n]
+                scale[a] = 1 / state.sum(axis=1, keepdims=True)
+                state *= scale[a]
+            counted = symbols.copy()
+            counted[last[~is_last]] = size
+            behind = np.repeat(1 / ahead[last].sum(axis=1, keepdims=True), k, axis=1)
+            seen, after = np.empty((2, steps * len(own), k))
+
+            def add(part: slice, posterior: np.ndarray) -> None:  # which adds up to one per token
+                np.add.at(emitted, (counted[part, None] * k + np.arange(k)).ravel(), posterior.ravel())  # noqa: B023
+
+            for a, b in reversed(stretches):
+                n, part = int(at[a + 1] - at[a]), slice(at[a], at[b])
+                many = len(symbols[part])
+                now, then = emit.take(symbols[part], axis=0, out=seen[:many], mode="clip"), after[:many]
+                now[-n:] *= scale[a]
+                then[-n:] = behind[:n]
+                for i in range(many - n, -1, -n):
+                    now[i : i + n] *= then[i : i + n]
+                    np.matmul(now[i : i + n], back, out=then[i - n : i] if i else behind[:n])
+                moves += ahead[at[a - 1] : at[a - 1] + many].T @ now
+                add(part, np.multiply(then, ahead[part], out=then))
+            state = ahead[: len(own)] * behind
+            add(slice(len(own)), state)
+            starts += state[is_first].sum(axis=0)
+            later += state[~is_first].sum(axis=0)
+        return starts, later, moves * self.move, emitted[:-k].reshape(size, k)
 
 
 class States:

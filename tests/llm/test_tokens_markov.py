@@ -1,11 +1,14 @@
 import itertools
 import math
 import shutil
+import sys
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -193,3 +196,85 @@ def test_every_round_reads_every_training_text(spark, documents, monkeypatch):
     monkeypatch.setattr(H, "_round", counted)
     H.score_texts(spark, docs, F.col("doc_id") % 10 == 0, states=2, rounds=1)
     assert len(seen) > 1 and set(seen) == {2700}
+
+
+def test_tokens_of_many_texts_at_once():
+    rng = np.random.default_rng(5)
+    texts = [None, "", " ", "\x0b", "A", " b", "c\x0c", "\x1c\x85\xa0 É É", *("".join(rng.choice(list("aZé \t\r\n\x00"), n)) for n in rng.integers(0, 30, 200)), None]
+    texts = [None if t is None else t.encode() for t in texts]
+    for first in (0, 1, 7):
+        data, sizes, many = H._split(pa.array(texts, pa.binary())[first:])
+        want = [H.tokens_of(t) for t in texts[first:]]
+        assert H._listed(data, sizes).to_pylist() == [w for x in want for w in x] and many.tolist() == [len(x) for x in want]
+
+
+def plain_round(model, texts, run):
+    """What ``expected`` adds up, token by token, each scaled."""
+    k, size = model.emit.shape
+    starts, later, moves, emitted = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+    for text in texts:
+        for i in range(0, len(text), run):
+            x = text[i : i + run + 1]
+            ahead, scale = [], []
+            for t, w in enumerate(x):
+                state = (ahead[-1] @ model.move if t else model.later if i else model.start) * model.emit[:, w]
+                scale.append(state.sum())
+                ahead.append(state / scale[-1])
+            behind = np.ones(k)
+            for t in range(len(x) - 1, -1, -1):
+                if t < run:
+                    emitted[x[t]] += ahead[t] * behind
+                if t:
+                    seen = model.emit[:, x[t]] * behind / scale[t]
+                    moves += np.outer(ahead[t - 1], seen) * model.move
+                    behind = model.move @ seen
+            (later if i else starts)[:] += ahead[0] * behind
+    return starts, later, moves, emitted
+
+
+@pytest.mark.parametrize("least", [1.0, 1e-9, 1e-40])
+def test_a_round_equals_the_recursion_token_by_token(least):
+    rng = np.random.default_rng(6)
+    rows = lambda *s: (x := rng.random(s) ** 4 + 1e-6) / x.sum(axis=-1, keepdims=True)
+    emit = rows(3, 9)
+    emit[:, 4:] *= least
+    emit[0, 6] = 0.0
+    model = H.Model(rows(3), rows(3), rows(3, 3), emit)
+    texts = [rng.integers(0, 9, n) for n in [*range(1, 40), *[50] * 300, 333]]
+    got, want = model.expected(texts, 100), plain_round(model, texts, 100)
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    score = [sum(math.log10(s) for s in scales(model, x)) for x in texts]
+    assert model.forward(texts) == pytest.approx(score, rel=1e-12)
+
+
+def scales(model, x):
+    state = None
+    for w in x:
+        state = (model.start if state is None else state @ model.move) * model.emit[:, w]
+        yield state.sum()
+        state = state / state.sum()
+
+
+def calls(function):
+    """How many functions were called in Python, which is what reading tokens one by one costs."""
+    seen = []
+    sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+    try:
+        function()
+    finally:
+        sys.setprofile(None)
+    return len(seen)
+
+
+def test_tokens_are_read_many_at_a_time(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = lambda *s: (x := rng.random(s)) / x.sum(axis=-1, keepdims=True)
+    model = H.Model(rows(2), rows(2), rows(2, 2), rows(2, 9))
+    texts = [rng.integers(0, 9, 1000) for _ in range(20)]
+    assert calls(lambda: model.expected(texts)) < 2000  # 1,000 places, forth and back
+    assert calls(lambda: model.forward(texts)) < 1000
+    monkeypatch.setattr(H, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    text = " ".join(f"w{i}" for i in range(20_000)).encode()
+    batch = pa.record_batch([pa.array([1]), pa.array([False]), pa.array([text])], ["doc_id", "held_out", "text"])
+    assert calls(lambda: list(H._encode(iter([batch]), H.BLOCK, 4))) < 2000  # 20,000 words
